@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomspark.llm.packing import pack
+from loomspark.llm.pii import detect_pii
 from loomspark.llm.quality import score_quality
 from loomspark.llm.sharding import shard_rows
 
@@ -14,16 +16,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer file that packing uses; its package lies beside the other libraries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_pii(_table(spark, sf_dir, "documents")).drop("scores")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pii": op4_pii,
     "op5_sharding": op5_sharding,
+    "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
 }
 
