@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomspark.llm.mixing import Mixture, mix
 from loomspark.llm.packing import pack
 from loomspark.llm.pii import detect_pii
 from loomspark.llm.quality import score_quality
 from loomspark.llm.sharding import shard_rows
+from loomspark.llm.warc import archive_round_trip
+
+#: The production mixture: the hot source is cut back, languages are evened out, long texts are preferred.
+MIXTURE = Mixture(
+    source={f"src{k}": 0.05 for k in range(20)},
+    lang={"en": 0.55, "fr": 0.17, "de": 0.16, "es": 0.12},
+    topic={"note": 0.05, "article": 0.45, "longread": 0.46, "table": 0.04},
+    fraction=0.5,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +33,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), MIXTURE)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_pii(_table(spark, sf_dir, "documents")).drop("scores")
 
@@ -40,6 +58,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op3_warc": op3_warc,
     "op4_pii": op4_pii,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
