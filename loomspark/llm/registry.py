@@ -11,6 +11,7 @@ from loomspark.llm.packing import pack
 from loomspark.llm.pii import detect_pii
 from loomspark.llm.quality import score_quality
 from loomspark.llm.sharding import shard_rows
+from loomspark.llm.toxicity import score_toxicity
 from loomspark.llm.warc import archive_round_trip
 
 #: The production mixture: the hot source is cut back, languages are evened out, long texts are preferred.
@@ -57,6 +58,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_warc": op3_warc,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
