@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomspark.llm.embeddings import link_embeddings
 from loomspark.llm.mixing import Mixture, mix
 from loomspark.llm.packing import pack
 from loomspark.llm.pii import detect_pii
@@ -38,6 +39,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), MIXTURE)
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages"))
 
@@ -64,6 +69,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_embeddings": op2_embeddings,
     "op3_warc": op3_warc,
     "op4_pii": op4_pii,
     "op5_sharding": op5_sharding,
