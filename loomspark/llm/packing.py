@@ -22,8 +22,8 @@ from loomspark.llm.common import materialise
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 200_000
+#: Words whose ids a worker remembers, and how many of the earliest stay when it has to forget.
+CACHE_WORDS, CACHE_KEPT = 600_000, 150_000
 
 
 class WordTokenizer:
@@ -40,15 +40,39 @@ class WordTokenizer:
 
     def encode(self, text: str | None) -> np.ndarray:
         words = text.replace("\n", " ").split(" ") if text else []
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
         known = self.known
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
-            for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, np.uint32).tobytes()
-        raw = b"".join([known[w] for w in words])
-        return np.frombuffer(raw, np.uint32)
+            self._learn(new)
+        return np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words; of ASCII words only lower-case letters and a last stop or comma apart.
+
+        The tokenizer lower-cases anyway and splits letters from marks.
+        """
+        known, parts = self.known, {}
+        if len(known) > CACHE_WORDS:
+            for word in list(known)[CACHE_KEPT:]:
+                del known[word]
+        for word in words:
+            base = word.lower() if word.isascii() else word
+            parts[word] = (base[:-1], base[-1]) if base[-1:] in (".", ",") and base.isascii() and base[:-1].isalpha() else (base,)
+        new = [p for p in dict.fromkeys(p for found in parts.values() for p in found) if p not in known]
+        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[part] = np.array(found.ids, np.uint32).tobytes()
+        for word, found in parts.items():
+            known[word] = b"".join(known[p] for p in found)
+
+
+_LOADED: dict[str, WordTokenizer] = {}
+
+
+def _tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer a worker process, whose memory of words outlives a task."""
+    if path not in _LOADED:
+        _LOADED[path] = WordTokenizer(path)
+    return _LOADED[path]
 
 
 def _tokenize(path: str, end_id: int):
@@ -56,7 +80,7 @@ def _tokenize(path: str, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        part, at, tokenizer = TaskContext.get().partitionId(), 0, WordTokenizer(path)
+        part, at, tokenizer = TaskContext.get().partitionId(), 0, _tokenizer(path)
         for batch in batches:
             texts, starts, counts, blobs = batch.column(1), [], [], []
             for text in texts:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.llm.embeddings import link_embeddings
+from loomspark.llm.jaccard import link_ngrams
 from loomspark.llm.mixing import Mixture, mix
 from loomspark.llm.packing import pack
 from loomspark.llm.pii import detect_pii
@@ -63,6 +64,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_ngrams(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
 }
 
