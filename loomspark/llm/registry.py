@@ -13,6 +13,7 @@ from loomspark.llm.packing import pack
 from loomspark.llm.pii import detect_pii
 from loomspark.llm.quality import score_quality
 from loomspark.llm.sharding import shard_rows
+from loomspark.llm.suffixes import remove_repeats
 from loomspark.llm.toxicity import score_toxicity
 from loomspark.llm.warc import archive_round_trip
 
@@ -72,6 +73,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_embeddings": op2_embeddings,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
+    "op10_suffixes": op10_suffixes,
 }
 
 ORACLES: dict[str, str] = {}
