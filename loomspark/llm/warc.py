@@ -8,6 +8,7 @@ it joined.  A record whose payload another record already has is a revisit.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,8 +62,22 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     kind, refers = F.when(revisit, "revisit").otherwise("response"), F.when(revisit, F.col("first_id"))
     header = _header(F.col("id"), F.col("url"), F.col("digest"), kind, refers, F.col("size"), date)
     keyed.select("id", "digest", header.alias("header")).write.parquet(f"{path}/headers")
-    holders = rows.join(first, (rows["digest"] == first["digest"]) & rows["id"].eqNullSafe(first["first_id"]), "left_semi")
-    holders.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+    # One copy a digest, bucketed by it: payloads are shuffled here once, copies before that dropped
+    # within each task, and no later join by digest moves them again.
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    store = rows.select("digest", "payload").dropDuplicates(["digest"])
+    store.write.bucketBy(buckets, "digest").option("path", f"{path}/payloads").saveAsTable(_table_name(path))
+
+
+def _table_name(path: str) -> str:
+    """The name under which the session's catalog knows the buckets of an archive."""
+    return f"warc_payloads_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
+
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """digest, payload; with its buckets where this session's catalog has them, else as plain files."""
+    name = _table_name(path)
+    return spark.table(name) if spark.catalog.tableExists(name) else spark.read.parquet(f"{path}/payloads")
 
 
 def _field(text: Column, name: str) -> Column:
@@ -88,7 +103,7 @@ def read_archive(spark: SparkSession, path: str, full: bool = False) -> DataFram
     same, so that every original payload is there.  ``verified`` says that the
     joined payload has the digest and the length that the header names.
     """
-    headers, payloads = read_headers(spark, path), spark.read.parquet(f"{path}/payloads")
+    headers, payloads = read_headers(spark, path), read_payloads(spark, path)
     wanted = F.lit(True) if full else F.col("record_type") == "response"
     joined = headers.filter(wanted).join(payloads, F.col("payload_digest") == F.col("digest"), "left").drop("digest")
     if not full:
