@@ -8,9 +8,11 @@ this way are stored in prefix trees, which share the overlap of common paths and
 drop a subtree once its longest rest can no longer reach the overlap needed.
 
 Equal sets are one class and joined once.  A segment's classes are compared with
-the first of them, and with each other only where that leaves them unconnected;
-so a large group of near copies costs a star, not its pairs, and no link between
-different components is lost.
+the first of them.  Where that leaves them unconnected, parity sketches decide
+inside the segment's cell which classes can be similar at all, and only the edges
+of a spanning forest of those leave it to be verified, round by round until no
+unverified pair could connect two components.  So a large group of near copies
+costs stars and forests, not its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from loomspark.llm.components import connected_components
 
 #: Rows of one Arrow batch, members of one prefix tree, and texts a task remembers as seen.
 ROWS, TREE, SEEN = 100_000, 256, 500_000
+#: Members of a cell that one task compares with as many others, and rows of a task of small cells.
+CELL, CELL_ROWS = 4096, 50_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -191,15 +195,101 @@ def _emit(n: int, percent: int):
     return run
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the elements that fall on each bit: two sketches never differ more than their sets.
+
+    About two bits an element, a power of two in all, so that a longer sketch
+    folds into a shorter one.
+    """
+    bits = max(512, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((_mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _fold(bits: np.ndarray, words: int) -> np.ndarray:
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), n) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "elements"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())],
+                names=["cls", "size", "elements", "sketch"],
+            )
 
     return run
 
 
+def forest(sizes: np.ndarray, sketches: list[np.ndarray], parts: np.ndarray, percent: int, failed: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Edges (by place) that could connect the parts of a cell: a spanning forest of the pairs whose sketches allow a link.
+
+    Members with most possible partners come first, as the original of many near copies would.
+    """
+    words = min(map(len, sketches))
+    bits, m = np.array([_fold(x, words) for x in sketches]), len(sizes)
+    near = np.zeros((m, m), bool)
+    for k in range(m - 1):
+        differ = np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(axis=1, dtype=np.int64)
+        near[k, k + 1 :] = (differ * (100 + percent) <= (sizes[k] + sizes[k + 1 :]) * (100 - percent)) & (parts[k + 1 :] != parts[k])
+    for a, b in failed:
+        near[min(a, b), max(a, b)] = False
+    near |= near.T
+    at, out = parts.copy(), []
+    for k in np.argsort(-near.sum(axis=1), kind="stable"):
+        partners = np.flatnonzero(near[k] & (at != at[k]))
+        if len(partners):
+            names, first = np.unique(at[partners], return_index=True)
+            out += [(int(k), int(partners[f])) for f in first]
+            at[np.isin(at, names)] = at[k]
+    return out
+
+
+def _cells(percent: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, cell in rows.groupby(["key", "i", "j"], sort=False):
+            gone, members = cell[cell["gone"]], cell[~cell["gone"]].drop_duplicates("cls")
+            names = members["cls"].to_numpy()
+            if len(names) < 2:
+                continue
+            place = {c: k for k, c in enumerate(names)}
+            failed = {(place[a], place[b]) for a, b in zip(gone["cls"], gone["b"], strict=True) if a in place and b in place}
+            edges = forest(members["size"].to_numpy(), [np.frombuffer(x, np.uint64) for x in members["sketch"]], members["part"].to_numpy(), percent, failed)
+            out += [(min(names[a], names[b]), max(names[a], names[b])) for a, b in edges]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def _could_connect(shared: DataFrame, parts: DataFrame, sets: DataFrame, failed: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that segments bring together and sketches allow, as forests of cells.
+
+    A cell of more than CELL members is compared in pairs of blocks.  ``failed``
+    are pairs that proved not to be similar, and are not proposed again.
+    """
+    placed = shared.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("part"))
+    split = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks")).filter("p < q").select("key", "blocks")
+    cells = materialise(placed.join(split, "key"), "cells")
+    block = F.pmod(F.xxhash64("cls", F.lit("block")), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = cells.withColumn("block", block).select("*", other.alias("other")).select("key", "cls", "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = dealt.join(sets.select("cls", "size", "sketch"), "cls").withColumn("b", F.lit(0).cast("bigint")).withColumn("gone", F.lit(False))
+    if failed is not None:
+        ends = dealt.select("key", "i", "j", "cls")
+        gone = failed.join(ends.withColumnRenamed("cls", "a"), "a").join(ends.withColumnRenamed("cls", "b"), ["key", "i", "j", "b"], "left_semi")
+        # No column is ever null, or pandas would turn the 64-bit names into floats.
+        none = {"part": F.lit(0).cast("bigint"), "size": F.lit(0).cast("bigint"), "sketch": F.lit(b""), "gone": F.lit(True)}
+        rows = rows.unionByName(gone.select("key", "i", "j", F.col("a").alias("cls"), "b").withColumns(none))
+    spark = shared.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cells.count() // CELL_ROWS))
+    grouped = rows.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).cast("int")).groupBy("task")
+    return materialise(grouped.applyInPandas(_cells(percent), "a bigint, b bigint").distinct(), "proposed")
+
+
 def _walk(percent: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         center = rows.loc[rows["cls"] == key[0], "elements"]
@@ -213,19 +303,13 @@ def _walk(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, first: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar; texts are fetched for their classes only.
-
-    A center's members are dealt to prefix trees of about TREE members each.
-    """
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(first, "cls")
-    texts = documents.select(F.col("id"), F.col("text")).join(wanted.select(F.col("rep").alias("id"), "cls"), "id").dropDuplicates(["cls"]).select("text", "cls")
-    sets = materialise(texts.mapInArrow(_sets(n), "cls bigint, elements binary"), "sets")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are similar; a center's members are dealt to prefix trees of about TREE members."""
     trees = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TREE).alias("trees"))
     dealt = pairs.join(trees, "a").withColumn("tree", F.pmod(F.xxhash64("b"), F.col("trees")).cast("int"))
-    members = dealt.select("a", "tree", F.col("b").alias("cls")).join(sets, "cls")
-    centers = dealt.select("a", "tree").distinct().withColumn("cls", F.col("a")).join(sets, "cls")
-    rows = members.select("a", "tree", "cls", "elements").unionByName(centers.select("a", "tree", "cls", "elements"))
+    members = dealt.select("a", "tree", F.col("b").alias("cls"))
+    centers = dealt.select("a", "tree").distinct().withColumn("cls", F.col("a"))
+    rows = members.unionByName(centers).join(sets.select("cls", "elements"), "cls")
     return materialise(rows.groupBy("a", "tree").applyInPandas(_walk(percent), "a bigint, b bigint"), "similar")
 
 
@@ -250,20 +334,25 @@ def link_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     keys = documents.select("text").mapInArrow(_emit(n, percent), "key bigint, cls bigint")
     group = Window.partitionBy("key")
     shared = keys.withColumn("low", F.min("cls").over(group)).withColumn("high", F.max("cls").over(group)).filter("low < high")
+    # Copies in other tasks sent the same rows: one of each stays.
     shared = materialise(shared.select("key", "cls", "low").distinct(), "segments")
     stars = materialise(shared.filter("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
-    links = _verified(stars, documents, classes, n, percent)
-    parts = connected_components(links)
-
-    # Classes of a segment that the stars left apart are compared with each other.
-    placed = shared.select("key", "cls").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls"))
-    split = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key")
-    apart = placed.join(split, "key").select("key", "cls", "part")
-    other = apart.withColumnsRenamed({"cls": "cls2", "part": "part2"})
-    pairs = apart.join(other, "key").filter("part <> part2 and cls < cls2").select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct()
-    pairs = materialise(pairs.join(stars, ["a", "b"], "left_anti"), "apart")
-    if not pairs.isEmpty():
-        links = links.unionByName(_verified(pairs, documents, classes, n, percent))
+    # Segments with the same classes say the same: one of them stays.
+    same = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
+    shared = materialise(shared.select("key", "cls").join(same.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "distinct-segments")
+    wanted = shared.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("id"), "cls")
+    sets = materialise(documents.join(wanted, "id").dropDuplicates(["cls"]).select("text", "cls").mapInArrow(_sets(n), "cls bigint, size bigint, elements binary, sketch binary"), "sets")
+
+    links = _verified(stars, sets, percent)
+    parts, failed = connected_components(links), None
+    while True:
+        proposed = _could_connect(shared, parts, sets, failed, percent)
+        if proposed.isEmpty():
+            break
+        found = _verified(proposed, sets, percent)
+        links = links.unionByName(found)
+        wrong = proposed.join(found, ["a", "b"], "left_anti")
+        failed = materialise(wrong if failed is None else failed.unionByName(wrong), "failed")
         parts = connected_components(links)
 
     named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls"))

@@ -37,10 +37,16 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, text: str | None) -> np.ndarray:
         words = text.replace("\n", " ").split(" ") if text else []
         known = self.known
+        if len(known) > CACHE_WORDS:  # between texts, so that no word of this one is forgotten
+            for word in list(known)[CACHE_KEPT:]:
+                del known[word]
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
             self._learn(new)
@@ -52,19 +58,35 @@ class WordTokenizer:
         The tokenizer lower-cases anyway and splits letters from marks.
         """
         known, parts = self.known, {}
-        if len(known) > CACHE_WORDS:
-            for word in list(known)[CACHE_KEPT:]:
-                del known[word]
         for word in words:
             base = word.lower() if word.isascii() else word
             parts[word] = (base[:-1], base[-1]) if base[-1:] in (".", ",") and base.isascii() and base[:-1].isalpha() else (base,)
         new = [p for p in dict.fromkeys(p for found in parts.values() for p in found) if p not in known]
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        self._learn_letters([p for p in new if p.isalpha()])
+        rest = [p for p in new if p not in known]
+        for part, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[part] = np.array(found.ids, np.uint32).tobytes()
         for word, found in parts.items():
             known[word] = b"".join(known[p] for p in found)
 
 
+    def _learn_letters(self, words: list[str]) -> None:
+        """Encode words of letters together: each is one piece, whose last id ends a word.
+
+        Should the pieces not be as many as the words (a letter that lower-cases
+        to more than letters), the group is left to be encoded word by word.
+        """
+        groups = [words[k : k + 500] for k in range(0, len(words), 500)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                raw, start = ids.tobytes(), 0
+                for word, end in zip(group, ends.tolist(), strict=True):
+                    self.known[word] = raw[4 * start : 4 * end]
+                    start = end
+
+
 _LOADED: dict[str, WordTokenizer] = {}
 
 

@@ -35,6 +35,11 @@ def _all(parts: list[Column]) -> Column:
     return out
 
 
+def _some(items: Column, kind: T.DataType, pattern: Any) -> Column:
+    """Whether some element contains the pattern."""
+    return F.coalesce(F.exists(items, lambda x: contains(x, kind, pattern)), F.lit(False))
+
+
 def _path(key: str) -> str:
     return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
@@ -48,7 +53,7 @@ def _variant(value: Column, pattern: Any) -> Column:
         return value.isNotNull() & _all(parts)
     if isinstance(pattern, list):
         items = F.try_variant_get(value, "$", "array<variant>")
-        each = [F.coalesce(F.exists(items, lambda x, sub=sub: F.coalesce(_variant(x, sub), F.lit(False))), F.lit(False)) for sub in pattern]
+        each = [_some(items, T.VariantType(), sub) for sub in pattern]
         return value.isNotNull() & F.startswith(shape, F.lit("ARRAY")) & _all(each)
     if pattern is None:
         return F.is_variant_null(value)
@@ -79,7 +84,7 @@ def _typed(value: Column, kind: T.DataType, pattern: Any) -> Column:
     if isinstance(pattern, list):
         if not isinstance(kind, T.ArrayType):
             return F.lit(False)
-        each = [F.coalesce(F.exists(value, lambda x, sub=sub: F.coalesce(_typed(x, kind.elementType, sub), F.lit(False))), F.lit(False)) for sub in pattern]
+        each = [_some(value, kind.elementType, sub) for sub in pattern]
         return value.isNotNull() & _all(each)
     if pattern is None:
         return value.isNull()
