@@ -250,23 +250,30 @@ def forest(sizes: np.ndarray, sketches: list[np.ndarray], parts: np.ndarray, per
 
 def _cells(percent: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, cell in rows.groupby(["key", "i", "j"], sort=False):
-            gone, members = cell[cell["gone"]], cell[~cell["gone"]].drop_duplicates("cls")
-            names = members["cls"].to_numpy()
-            if len(names) < 2:
+        """Edges (key, a, b) of all cells of a task; cells are slices of the sorted rows."""
+        by = {c: rows[c].to_numpy() for c in rows.columns}
+        order = np.lexsort((by["cls"], by["gone"], by["j"], by["i"], by["key"]))
+        by = {c: x[order] for c, x in by.items()}
+        new = [by[c][1:] != by[c][:-1] for c in ("key", "i", "j")]
+        starts = np.concatenate([[0], np.flatnonzero(new[0] | new[1] | new[2]) + 1])
+        out: list[tuple[int, int, int]] = []
+        for low, high in zip(starts, np.append(starts[1:], len(order)), strict=True):
+            end = low + int(np.count_nonzero(~by["gone"][low:high]))
+            names, parts = by["cls"][low:end], by["part"][low:end]
+            if end - low < 2 or (parts == parts[0]).all():
                 continue
-            place = {c: k for k, c in enumerate(names)}
-            failed = {(place[a], place[b]) for a, b in zip(gone["cls"], gone["b"], strict=True) if a in place and b in place}
-            edges = forest(members["size"].to_numpy(), [np.frombuffer(x, np.uint64) for x in members["sketch"]], members["part"].to_numpy(), percent, failed)
-            out += [(min(names[a], names[b]), max(names[a], names[b])) for a, b in edges]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            place = {c: k for k, c in enumerate(names.tolist())} if end < high else {}
+            gone = zip(by["cls"][end:high].tolist(), by["b"][end:high].tolist(), strict=True)
+            failed = {(place[a], place[b]) for a, b in gone if a in place and b in place}
+            edges = forest(by["size"][low:end], [np.frombuffer(x, np.uint64) for x in by["sketch"][low:end]], parts, percent, failed)
+            out += [(by["key"][low], min(names[a], names[b]), max(names[a], names[b])) for a, b in edges]
+        return pd.DataFrame(out, columns=["key", "a", "b"]).astype("int64")
 
     return run
 
 
 def _could_connect(shared: DataFrame, parts: DataFrame, sets: DataFrame, failed: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that segments bring together and sketches allow, as forests of cells.
+    """(key, a, b): pairs of different components that segments bring together and sketches allow, as forests of cells.
 
     A cell of more than CELL members is compared in pairs of blocks.  ``failed``
     are pairs that proved not to be similar, and are not proposed again.
@@ -287,7 +294,7 @@ def _could_connect(shared: DataFrame, parts: DataFrame, sets: DataFrame, failed:
     spark = shared.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cells.count() // CELL_ROWS))
     grouped = rows.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).cast("int")).groupBy("task")
-    return materialise(grouped.applyInPandas(_cells(percent), "a bigint, b bigint").distinct(), "proposed")
+    return materialise(grouped.applyInPandas(_cells(percent), "key bigint, a bigint, b bigint"), "proposed")
 
 
 def _walk(percent: int):
@@ -344,16 +351,22 @@ def link_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     sets = materialise(documents.join(wanted, "id").dropDuplicates(["cls"]).select("text", "cls").mapInArrow(_sets(n), "cls bigint, size bigint, elements binary, sketch binary"), "sets")
 
     links = _verified(stars, sets, percent)
-    parts, failed = connected_components(links), None
+    parts, failed, open_ = connected_components(links), None, shared
     while True:
-        proposed = _could_connect(shared, parts, sets, failed, percent)
+        proposed = _could_connect(open_, parts, sets, failed, percent)
         if proposed.isEmpty():
             break
-        found = _verified(proposed, sets, percent)
+        found = _verified(proposed.select("a", "b").distinct(), sets, percent)
         links = links.unionByName(found)
-        wrong = proposed.join(found, ["a", "b"], "left_anti")
-        failed = materialise(wrong if failed is None else failed.unionByName(wrong), "failed")
         parts = connected_components(links)
+        # A cell whose whole forest proved similar is connected, and one without proposals stays so:
+        # only cells with a pair that failed can still propose another.
+        wrong = materialise(proposed.join(found, ["a", "b"], "left_anti"), "wrong")
+        if wrong.isEmpty():
+            break
+        pairs = wrong.select("a", "b").distinct()
+        failed = materialise(pairs if failed is None else failed.unionByName(pairs).distinct(), "failed")
+        open_ = materialise(open_.join(wrong.select("key").distinct(), "key", "left_semi"), "open")
 
     named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls"))
     lowest = named.groupBy("part").agg(F.min("rep").alias("component_id"))
