@@ -10,9 +10,11 @@ drop a subtree once its longest rest can no longer reach the overlap needed.
 Equal sets are one class and joined once.  A segment's classes are compared with
 the first of them.  Where that leaves them unconnected, parity sketches decide
 inside the segment's cell which classes can be similar at all, and only the edges
-of a spanning forest of those leave it to be verified, round by round until no
-unverified pair could connect two components.  So a large group of near copies
-costs stars and forests, not its pairs, and no link between components is lost.
+of a few spanning forests of those leave it to be verified, round by round until no
+unverified pair could connect two components; each round takes four times the
+forests of the last, in the cells that still have a pair to propose.  So a large
+group of near copies costs stars and forests, not its pairs, and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -224,10 +226,12 @@ def _sets(n: int):
     return run
 
 
-def forest(sizes: np.ndarray, sketches: list[np.ndarray], parts: np.ndarray, percent: int, failed: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Edges (by place) that could connect the parts of a cell: a spanning forest of the pairs whose sketches allow a link.
+def forests(sizes: np.ndarray, sketches: list[np.ndarray], parts: np.ndarray, percent: int, failed: set[tuple[int, int]], count: int) -> list[tuple[int, int]]:
+    """Edges (by place) that could connect the parts of a cell: up to ``count`` spanning forests of the pairs whose sketches allow a link.
 
-    Members with most possible partners come first, as the original of many near copies would.
+    The forests share no edge, so that one of them can stand in where a pair of
+    another fails.  Members with most possible partners come first, as the
+    original of many near copies would.
     """
     words = min(map(len, sketches))
     bits, m = np.array([_fold(x, words) for x in sketches]), len(sizes)
@@ -238,17 +242,24 @@ def forest(sizes: np.ndarray, sketches: list[np.ndarray], parts: np.ndarray, per
     for a, b in failed:
         near[min(a, b), max(a, b)] = False
     near |= near.T
-    at, out = parts.copy(), []
-    for k in np.argsort(-near.sum(axis=1), kind="stable"):
-        partners = np.flatnonzero(near[k] & (at != at[k]))
-        if len(partners):
-            names, first = np.unique(at[partners], return_index=True)
-            out += [(int(k), int(partners[f])) for f in first]
-            at[np.isin(at, names)] = at[k]
+    out: list[tuple[int, int]] = []
+    for _ in range(count):
+        at, before = parts.copy(), len(out)
+        degree = near.sum(axis=1)
+        for k in np.argsort(-degree, kind="stable")[: np.count_nonzero(degree)]:
+            partners = np.flatnonzero(near[k] & (at != at[k]))
+            if len(partners):
+                names, first = np.unique(at[partners], return_index=True)
+                out += [(int(k), int(partners[f])) for f in first]
+                at[np.isin(at, names)] = at[k]
+        if len(out) == before:
+            break
+        used = np.array(out[before:])
+        near[used[:, 0], used[:, 1]] = near[used[:, 1], used[:, 0]] = False
     return out
 
 
-def _cells(percent: int):
+def _cells(percent: int, count: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Edges (key, a, b) of all cells of a task; cells are slices of the sorted rows."""
         by = {c: rows[c].to_numpy() for c in rows.columns}
@@ -265,14 +276,14 @@ def _cells(percent: int):
             place = {c: k for k, c in enumerate(names.tolist())} if end < high else {}
             gone = zip(by["cls"][end:high].tolist(), by["b"][end:high].tolist(), strict=True)
             failed = {(place[a], place[b]) for a, b in gone if a in place and b in place}
-            edges = forest(by["size"][low:end], [np.frombuffer(x, np.uint64) for x in by["sketch"][low:end]], parts, percent, failed)
+            edges = forests(by["size"][low:end], [np.frombuffer(x, np.uint64) for x in by["sketch"][low:end]], parts, percent, failed, count)
             out += [(by["key"][low], min(names[a], names[b]), max(names[a], names[b])) for a, b in edges]
         return pd.DataFrame(out, columns=["key", "a", "b"]).astype("int64")
 
     return run
 
 
-def _could_connect(shared: DataFrame, parts: DataFrame, sets: DataFrame, failed: DataFrame | None, percent: int) -> DataFrame:
+def _could_connect(shared: DataFrame, parts: DataFrame, sets: DataFrame, failed: DataFrame | None, percent: int, count: int) -> DataFrame:
     """(key, a, b): pairs of different components that segments bring together and sketches allow, as forests of cells.
 
     A cell of more than CELL members is compared in pairs of blocks.  ``failed``
@@ -294,7 +305,7 @@ def _could_connect(shared: DataFrame, parts: DataFrame, sets: DataFrame, failed:
     spark = shared.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cells.count() // CELL_ROWS))
     grouped = rows.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).cast("int")).groupBy("task")
-    return materialise(grouped.applyInPandas(_cells(percent), "key bigint, a bigint, b bigint"), "proposed")
+    return materialise(grouped.applyInPandas(_cells(percent, count), "key bigint, a bigint, b bigint"), "proposed")
 
 
 def _walk(percent: int):
@@ -351,9 +362,9 @@ def link_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     sets = materialise(documents.join(wanted, "id").dropDuplicates(["cls"]).select("text", "cls").mapInArrow(_sets(n), "cls bigint, size bigint, elements binary, sketch binary"), "sets")
 
     links = _verified(stars, sets, percent)
-    parts, failed, open_ = connected_components(links), None, shared
+    parts, failed, open_, count = connected_components(links), None, shared, 1
     while True:
-        proposed = _could_connect(open_, parts, sets, failed, percent)
+        proposed = _could_connect(open_, parts, sets, failed, percent, count)
         if proposed.isEmpty():
             break
         found = _verified(proposed.select("a", "b").distinct(), sets, percent)
@@ -364,6 +375,7 @@ def link_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
         wrong = materialise(proposed.join(found, ["a", "b"], "left_anti"), "wrong")
         if wrong.isEmpty():
             break
+        count *= 4  # forests of a cell: ever more in the few cells that stay open, so that rounds are few
         pairs = wrong.select("a", "b").distinct()
         failed = materialise(pairs if failed is None else failed.unionByName(pairs).distinct(), "failed")
         open_ = materialise(open_.join(wrong.select("key").distinct(), "key", "left_semi"), "open")
