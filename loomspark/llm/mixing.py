@@ -20,6 +20,8 @@ from loomspark.llm.common import fresh, materialise
 REST = "(rest)"
 #: More cells than this are refused: targets of so many values are not a mixture.
 MAX_CELLS = 1_000_000
+#: Targets that leave less than this of a margin (sums of floats never leave exactly 0) leave nothing.
+LEAST_LEFT = 1e-9
 
 
 def word_count(text: Column) -> Column:
@@ -36,8 +38,11 @@ def text_form(text: Column) -> Column:
 
 @dataclass
 class Mixture:
-    """Target shares of tokens, by margin; shares not given go to the rest in proportion to what it has.
+    """Target shares of tokens, by margin; what the shares of a margin leave of 1 goes to its rest.
 
+    The rest is every value without a target, null included.  Shares that sum to 1
+    leave nothing for it: then it keeps its present share of the tokens, and the
+    targets hold among the other tokens.  So no document is shut out by its values.
     ``fraction`` is the share of all tokens to draw (in expectation).
     """
 
@@ -56,7 +61,7 @@ def rake(tokens: np.ndarray, keys: list[tuple[str, ...]], targets: list[dict[str
 
     Only shares of values that some cell has can be met; those of a margin are
     scaled to sum to one.  A value without a target (``REST``) takes what the
-    targets leave.  Structural zeros can keep margins from being met exactly;
+    targets leave, or keeps its present share where they leave nothing.  Structural zeros can keep margins from being met exactly;
     the rounds then end at the closest cycle.
     """
     weight = tokens.astype(float).copy()
@@ -70,8 +75,11 @@ def rake(tokens: np.ndarray, keys: list[tuple[str, ...]], targets: list[dict[str
         values = sorted({k[m] for k in keys})
         at = np.array([values.index(k[m]) for k in keys])
         have = np.bincount(at, tokens, len(values))
-        wanted = np.array([target.get(v, 0.0) if v != REST else max(0.0, 1 - sum(target.values())) for v in values])
-        wanted = np.where(have > 0, wanted, 0)
+        rest, left = np.array([v == REST for v in values]), 1 - sum(target.values())
+        wanted = np.where(have > 0, [left if v == REST else target.get(v, 0.0) for v in values], 0)
+        if left < LEAST_LEFT:
+            share, given = have[rest].sum() / whole, wanted[~rest].sum()
+            wanted = np.where(rest, share, wanted * ((1 - share) / given if given > 0 else 0))
         if wanted.sum() > 0:
             plans.append((at, whole * wanted / wanted.sum()))
     for _ in range(rounds):

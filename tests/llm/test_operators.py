@@ -15,7 +15,7 @@ import brute
 from loomspark.llm import registry
 from loomspark.llm.embeddings import link_embeddings
 from loomspark.llm.jaccard import drop_near_copies, link_ngrams
-from loomspark.llm.mixing import Mixture, mix, sample_mixture
+from loomspark.llm.mixing import REST, Mixture, mix, rake, sample_mixture
 from loomspark.llm.packing import pack, sequences
 from loomspark.llm.pii import detect_pii, luhn, mask, mod97, redact_pii
 from loomspark.llm.quality import filter_quality, fit_votes, score_quality
@@ -236,6 +236,28 @@ def test_mixing(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in rows if r.sampled)
 
 
+def test_mixing_keeps_values_without_a_target(spark):
+    """Null and unseen sources and languages keep their share of the tokens where the targets sum to one."""
+    sources, langs = ["src0", "src1", None, "other"], ["en", "fr", "de", "es", None, "it"]
+    rows = [(k, "word " * (20 + k % 7), sources[k % 4], langs[k // 4 % 6]) for k in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    found = mix(df, registry.MIXTURE).collect()
+    total = sum(r.tokens for r in found)
+    for margin, target in (("source", registry.MIXTURE.source), ("lang", registry.MIXTURE.lang)):
+        rest = [r for r in found if r[margin] not in target]
+        assert all(0 < r.probability <= 1 and r.weight > 0 for r in rest)
+        assert {r[margin] for r in rest if r.sampled} == {r[margin] for r in rest}
+        assert abs(sum(r.tokens * r.weight for r in rest) - sum(r.tokens for r in rest)) < 1e-6 * total
+    assert sorted(r.doc_id for r in sample_mixture(df, registry.MIXTURE).collect()) == sorted(r.doc_id for r in found if r.sampled)
+
+
+def test_raking_shares_of_the_rest():
+    keys, tokens = [("a",), ("b",), (REST,)], np.array([10.0, 10.0, 20.0])
+    assert np.allclose(rake(tokens, keys, [{"a": 0.75, "b": 0.25}]), [15, 5, 20])
+    assert np.allclose(rake(tokens, keys, [{"a": 0.6, "b": 0.3}]), [24, 12, 4])
+    assert np.allclose(rake(tokens, keys, [{"c": 1.0}])[2], 40)
+
+
 OPERATORS = {
     "mix": lambda df: mix(df, Mixture(lang={"en": 1.0})), "pii": detect_pii, "redact": redact_pii, "shards": shard_rows,
     "pack": lambda df: pack(df, registry.tokenizer_path()), "quality": score_quality, "filter": filter_quality,
