@@ -27,10 +27,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import materialise
+from loomspark.llm.common import fresh, materialise
 from loomspark.llm.components import connected_components
 
 #: Rows of one Arrow batch, members of one prefix tree, and texts a task remembers as seen.
@@ -158,7 +158,7 @@ def _describe(n: int):
         for batch in batches:
             sets = [shingle_set(t.as_py(), n) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], names=["id", "n", "cls"]
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), batch.column(2)], names=["id", "n", "cls", "row"]
             )
 
     return run
@@ -331,23 +331,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(rows.groupBy("a", "tree").applyInPandas(_walk(percent), "a bigint, b bigint"), "similar")
 
 
-def link_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: id, ``n_shingles`` and ``component_id``.
+def _row(id_: Column, text: Column) -> Column:
+    """A 64-bit name that rows share when both their ids and their texts are equal; ids may repeat or be null."""
+    return F.xxhash64(id_, text)
 
-    Documents link when 100 * |intersection| >= percent * |union| of their sets.
-    ``component_id`` is the smallest id reachable by links, the document's own
-    included.  A null or blank text has the empty set and links with nothing; a
-    text of fewer than n words is one gram.  Rows that repeat an id are rows of
-    their own; a null id never names a component unless all of its members are
-    null, and an unlinked row with a null id has a null component.  An empty
-    table gives no rows; no other column is read.
+
+def _linked(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, cls) of all ``documents`` (id, text), and (cls, part, first): components of classes by their links.
+
+    ``first`` is the first row of a class by id (nulls last) and row name.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
-    documents = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = df.schema[id_col].dataType.simpleString()
-    described = materialise(documents.mapInArrow(_describe(n), f"id {kind}, n bigint, cls bigint"), "described")
-    classes = materialise(described.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("rep")), "classes")
+    documents = documents.withColumn("row", _row(F.col("id"), F.col("text")))
+    kind = documents.schema["id"].dataType.simpleString()
+    described = materialise(documents.select("id", "text", "row").mapInArrow(_describe(n), f"id {kind}, n bigint, cls bigint, row bigint"), "described")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    classes = materialise(described.filter("cls is not null").groupBy("cls").agg(first.alias("first")), "classes")
 
     keys = documents.select("text").mapInArrow(_emit(n, percent), "key bigint, cls bigint")
     group = Window.partitionBy("key")
@@ -358,8 +358,8 @@ def link_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     # Segments with the same classes say the same: one of them stays.
     same = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
     shared = materialise(shared.select("key", "cls").join(same.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "distinct-segments")
-    wanted = shared.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("id"), "cls")
-    sets = materialise(documents.join(wanted, "id").dropDuplicates(["cls"]).select("text", "cls").mapInArrow(_sets(n), "cls bigint, size bigint, elements binary, sketch binary"), "sets")
+    wanted = shared.select("cls").distinct().join(classes, "cls").select("first.row", "cls")
+    sets = materialise(documents.join(wanted, "row").dropDuplicates(["cls"]).select("text", "cls").mapInArrow(_sets(n), "cls bigint, size bigint, elements binary, sketch binary"), "sets")
 
     links = _verified(stars, sets, percent)
     parts, failed, open_, count = connected_components(links), None, shared, 1
@@ -380,20 +380,38 @@ def link_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
         failed = materialise(pairs if failed is None else failed.unionByName(pairs).distinct(), "failed")
         open_ = materialise(open_.join(wrong.select("key").distinct(), "key", "left_semi"), "open")
 
-    named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls"))
-    lowest = named.groupBy("part").agg(F.min("rep").alias("component_id"))
+    named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("part"), "first")
+    return described.select("id", "n", "cls"), named
+
+
+def link_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: id, ``n_shingles`` and ``component_id``.
+
+    Documents link when 100 * |intersection| >= percent * |union| of their sets.
+    ``component_id`` is the smallest id reachable by links, the document's own
+    included.  A null or blank text has the empty set and links with nothing; a
+    text of fewer than n words is one gram.  Rows that repeat an id are rows of
+    their own; a null id never names a component unless all of its members are
+    null, and an unlinked row with a null id has a null component.  An empty
+    table gives no rows; no other column is read.
+    """
+    described, named = _linked(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), n, percent)
+    lowest = named.groupBy("part").agg(F.min("first.id").alias("component_id"))
     named = named.join(lowest, "part").select("cls", "component_id")
     out = described.join(named, "cls", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """``df`` without the documents whose component has a smaller id; all columns stay.
+    """``df`` with one row of each component, the first by id (nulls last); all columns stay.
 
-    One document of each component stays.  Rows that repeat the id of a kept
-    document are repeats of it: the first of them stays.  Rows without id cannot
-    be named by a component and stay.
+    Of rows that agree in id and text, any one stands for the others.  Rows that
+    share only an id are rows of their own, and so are rows without id.  Null
+    and blank texts belong to no component and all stay.
     """
-    kept = link_ngrams(df, id_col, text_col, n, percent).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = df.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(df.filter(F.col(id_col).isNull()))
+    _, named = _linked(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), n, percent)
+    name = fresh(df, "__row")
+    first = named.groupBy("part").agg(F.min("first").alias("first")).select(F.col("first.row").alias(name))
+    blank = F.trim(F.translate(F.coalesce(F.col(text_col), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
+    kept = df.filter(~blank).withColumn(name, _row(F.col(id_col), F.col(text_col))).join(first, name, "left_semi").dropDuplicates([name])
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns]).unionByName(df.filter(blank))

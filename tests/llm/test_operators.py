@@ -187,6 +187,23 @@ def test_jaccard_of_near_copies_around_the_threshold(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.jaccard(rows, 4, 85)
 
 
+def test_jaccard_of_repeated_and_null_ids(spark, odd):
+    """Ids that hold many texts, or none: links go by text, and one text of each component stays."""
+    texts = [" ".join(f"w{g}x{k}" for k in range(120)) for g in range(30)]
+    near = [t.replace("x60 ", "y60 ") for t in texts]
+    rows = [(0, t) for t in texts[:20]] + [(100 + g, t) for g, t in enumerate(near[:20])]
+    rows += [(None, t) for t in texts[20:25] + near[20:25]] + [(0, t) for t in texts[25:]] + [(0, texts[0]), (0, None), (0, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = link_ngrams(df, n=4, percent=85).collect()
+    assert Counter((r.doc_id, r.component_id) for r in found) == Counter((i, i if i is None else 0) for i, _ in rows)
+    kept = [(r.doc_id, r.text) for r in drop_near_copies(df, n=4, percent=85).collect()]
+    group = {t: g for g in range(30) for t in (texts[g], near[g])}
+    assert sorted(group[t] for _, t in kept if t and t.strip()) == list(range(30))
+    assert [i for i, t in kept if t in group] == [None if t in texts[20:25] + near[20:25] else 0 for _, t in kept if t in group]
+    assert Counter(t for _, t in kept if t not in group) == {None: 1, " ": 1}
+    assert Counter((r.text or "").strip().lower() for r in drop_near_copies(odd).collect()) == Counter({(t or "").strip().lower(): 1 for _, t in ODD} | {"": 3})
+
+
 def test_toxicity(spark):
     rows = registry.op9_toxicity(spark, "/root/testdata/sf0.01").collect()
     label = {r["doc_id"]: r["toxic"] for r in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist()}
