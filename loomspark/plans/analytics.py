@@ -248,6 +248,13 @@ def per_second_distribution(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "events").filter(F.col("event_id").between(100, 500)).groupBy(second.alias("second")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT CAST(epoch_us(date_trunc('second', ts)) / 1000000 AS BIGINT) AS second, count(*) AS n FROM events GROUP BY 1")
+def per_second_distribution_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all events."""
+    second = F.floor(_us("ts") / 1000000).cast("long")
+    return X.table(spark, d, "events").groupBy(second.alias("second")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     """SELECT 'open_runs' AS check_name, count(*) AS n, CAST(count(*) FILTER (status = 'started') AS BIGINT) AS bad FROM fx_runs UNION ALL
     SELECT 'tasks', count(*), CAST(count(*) FILTER (status = 'queued') AS BIGINT) FROM fx_tasks UNION ALL

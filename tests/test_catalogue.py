@@ -33,6 +33,11 @@ def test_query_equals_sql(spark, duck, name):
     assert mine == theirs
 
 
+def test_distribution_counts_every_event(spark):
+    counted = catalogue.QUERIES["per_second_distribution_whole"](spark, D).agg({"n": "sum"}).collect()[0][0]
+    assert counted == spark.read.parquet(f"{D}/events.parquet").count()
+
+
 def test_entry():
     import __spark_entry__ as entry
 
