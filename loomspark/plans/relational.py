@@ -323,6 +323,16 @@ def visible_read_topk(spark: SparkSession, d: str) -> DataFrame:
     return got.select("queue_name", "msg_id", "read_ct")
 
 
+@query(
+    f"SELECT queue_name, msg_id, CAST(read_ct + 1 AS INT) AS read_ct FROM (SELECT *, row_number() OVER (PARTITION BY queue_name ORDER BY msg_id) AS p FROM fx_msgs WHERE {_VT} <= TIMESTAMP '2024-01-15 12:00:00') WHERE p <= 50",
+    "fx_msgs",
+)
+def visible_read_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The first visible messages of each whole queue, at a time when a part of them is visible."""
+    got = queue.read_visible(_queue(spark, d), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"), 50, 30)
+    return got.select("queue_name", "msg_id", "read_ct")
+
+
 @query(
     "SELECT m.msg_id, CAST(epoch_us(TIMESTAMP '1998-01-01 00:00:00' + to_seconds(o.off)) AS BIGINT) AS vt_us FROM fx_msgs m JOIN (SELECT unnest([1, 5, 9, 999999999]) AS id, unnest([10, 0, 3600, 5]) AS off) o ON m.msg_id = o.id",
     "fx_msgs",
@@ -375,6 +385,14 @@ def enqueue_batch(spark: SparkSession, d: str) -> DataFrame:
     return queue.send_batch(base, new, F.lit(_NOW).cast("timestamp_ntz"), 5).select("msg_id", "queue_name", "read_ct")
 
 
+@query("SELECT msg_id, queue_name, read_ct FROM fx_msgs UNION ALL SELECT msg_id + 1000000000000, 'q_new', 0 FROM fx_msgs", "fx_msgs")
+def enqueue_batch_whole(spark: SparkSession, d: str) -> DataFrame:
+    """A batch made from all messages, appended to the whole queue."""
+    base = _queue(spark, d).select("queue_name", "msg_id", "read_ct", "enqueued_at", "vt", "message")
+    new = X.messages(spark, d).select(F.lit("q_new").alias("queue_name"), (F.col("msg_id") + 1000000000000).alias("msg_id"), "message")
+    return queue.send_batch(base, new, F.lit(_NOW).cast("timestamp_ntz"), 5).select("msg_id", "queue_name", "read_ct")
+
+
 @query("SELECT count(*) AS remaining, min(msg_id) AS first_id FROM fx_msgs WHERE msg_id % 10 <> 0", "fx_msgs")
 def delete_messages(spark: SparkSession, d: str) -> DataFrame:
     q = _queue(spark, d)

@@ -38,6 +38,14 @@ def test_distribution_counts_every_event(spark):
     assert counted == spark.read.parquet(f"{D}/events.parquet").count()
 
 
+def test_queue_queries_take_whole_queues(spark):
+    events = spark.read.parquet(f"{D}/events.parquet")
+    assert catalogue.QUERIES["enqueue_batch_whole"](spark, D).count() == 2 * events.count()
+    read = catalogue.QUERIES["visible_read_whole"](spark, D).join(events.withColumnRenamed("event_id", "msg_id"), "msg_id")
+    assert {r[0] for r in read.selectExpr("user_id % 2").distinct().collect()} == {0, 1}
+    assert read.filter("ts > timestamp_ntz'2024-01-15 12:00:00'").isEmpty()
+
+
 def test_entry():
     import __spark_entry__ as entry
 
