@@ -1,42 +1,44 @@
 """N-gram Jaccard join over prefix trees.
 
-A document is the set of its word n-grams, as 64-bit hashes in ascending order,
-which is the global order.  Two sets of similarity t differ in at most
-H = (|x| + |y|)(1 - t)/(1 + t) elements, so of more than H segments of the order at
-least one is equal in both.  Equal segments bring sets together; the sets found
-this way are stored in prefix trees, which share the overlap of common paths and
-drop a subtree once its longest rest can no longer reach the overlap needed.
-
-Equal sets are one class and joined once.  A segment's classes are compared with
-the first of them.  Where that leaves them unconnected, parity sketches decide
-inside the segment's cell which classes can be similar at all, and only the edges
-of a few spanning forests of those leave it to be verified, round by round until no
-unverified pair could connect two components; each round takes four times the
-forests of the last, in the cells that still have a pair to propose.  So a large
-group of near copies costs stars and forests, not its pairs, and no link between
-components is lost.
+A document is the set of its word n-grams.  All sets are in one global order, rare
+n-grams first: a count of the whole corpus over SLOTS slots ranks the slots, and an
+n-gram's code is its slot's rank followed by the rest of its hash.  Two sets of
+similarity t share one of the first |x| - ceil(t|x|) + 1 codes of each, so the sets
+that share such a code are brought together in cells.
+
+A cell's sets are stored in a trie, frequent n-grams first, where near copies run
+along the same path.  A probe walks down level by level: the overlap of a path is
+counted once for all sets below it, and a subtree is dropped when its longest rest
+can no longer reach the overlap that its smallest set needs, or when all of its
+sets are already in the probe's component.
+
+Equal sets are one class and joined once.  Cells with the same least class are
+merged, and their members are first compared with that class alone.  Only cells
+that this leaves in more than one component are joined in full, and there only the
+sets outside the cell's largest component are probes: a large group of near copies
+costs its members, not its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import fresh, materialise
 from loomspark.llm.components import connected_components
 
-#: Rows of one Arrow batch, members of one prefix tree, and texts a task remembers as seen.
-ROWS, TREE, SEEN = 100_000, 256, 500_000
-#: Members of a cell that one task compares with as many others, and rows of a task of small cells.
-CELL, CELL_ROWS = 4096, 50_000
+#: Rows of one Arrow batch that a task gives back, and texts a task remembers as seen.
+ROWS, SEEN = 100_000, 500_000
+#: Bits of an n-gram's slot; the counts of all slots are the only statistic that the driver holds.
+SLOT_BITS = 16
+SLOTS = 1 << SLOT_BITS
+#: Most members of one trie, most probes that walk it in one task, and their n-grams in all.
+TREE, ELEMENTS = 4096, 2_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -66,105 +68,178 @@ def class_of(shingles: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), 7)).astype(np.int64)) if len(shingles) else None
 
 
-@lru_cache(maxsize=None)
-def size_classes(percent: int, largest: int) -> tuple[tuple[int, int], ...]:
-    """Ranges of sizes so wide that similar sets lie in the same or in adjacent ones."""
-    found, low = [], 1
-    while low <= largest:
-        high = low * 100 // percent
-        found.append((low, high))
-        low = high + 1
-    return tuple(found)
-
-
-@lru_cache(maxsize=None)
-def segments(percent: int, low: int, high: int) -> tuple[int, int]:
-    """(segments, most that can differ) for pairs whose smaller set has low..high elements."""
-    differ = (high + high * 100 // percent) * (100 - percent) // (100 + percent)
-    if not differ:
-        return 0, 0  # only equal sets are similar, and those are one class
-    empty = (differ + 1) * math.exp(-low / (differ + 1))
-    return differ + 3 + math.ceil(2 * empty), differ
-
-
-def keys_of(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of a set's non-empty segments, as the smaller and as the larger set of a pair.
-
-    Of more than H equal segments one is not empty, unless the set has as many
-    empty ones; such sets, a few in a thousand, add the keys of a prefix filter,
-    which needs no segments.
+def slots_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def rank_slots(counts: np.ndarray) -> np.ndarray:
+    """Each slot's place when slots are sorted by count; a permutation, so that codes stay distinct."""
+    ranks = np.empty(SLOTS, np.uint64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(SLOTS, dtype=np.uint64)
+    return ranks
+
+
+def codes_of(shingles: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The set in the global order: rank of the slot above the other bits of the hash, ascending."""
+    return np.sort((ranks[slots_of(shingles)] << np.uint64(64 - SLOT_BITS)) | (shingles >> np.uint64(SLOT_BITS)))
+
+
+def prefix_of(codes: np.ndarray, percent: int) -> np.ndarray:
+    """The codes of which two similar sets share at least one."""
+    return codes[: len(codes) - -(-len(codes) * percent // 100) + 1]
+
+
+class Trie:
+    """Sets of codes as a compressed trie; nodes in order of depth, the children of a node side by side."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        """``sets`` are ascending; paths run from the last code (most frequent) to the first."""
+        self.codes, dense = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum([len(s) for s in sets])
+        paths = [p[::-1].astype(">u4") for p in np.split(dense, ends[:-1])]
+        keys = [p.tobytes() for p in paths]
+        #: Place in the trie -> number of the set.
+        self.order = sorted(range(len(sets)), key=keys.__getitem__)
+        paths = [paths[k] for k in self.order]
+        self.sizes = np.array([len(p) for p in paths], np.int64)
+        common = [0]
+        for a, b in zip(paths, paths[1:], strict=False):
+            short = min(len(a), len(b))
+            differ = np.flatnonzero(a[:short] != b[:short])
+            common.append(int(differ[0]) if len(differ) else short)
+        nodes: list[tuple[int, int, int, int]] = []  # depth above, depth below, first place, place after the last
+        firsts: list[int] = []
+        counts: list[int] = []
+        level = [(0, len(paths), 0)]
+        while level:
+            after = []
+            for low, high, depth in level:
+                firsts.append(len(nodes))
+                # The places where the next code changes part the node's sets into its children.
+                cuts = [low, *[k for k in range(low + 1, high) if common[k] == depth], high] if high - low > 1 else [low, high]
+                made = 0
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    end = min([len(paths[a]), *common[a + 1 : b]])
+                    if end == depth:
+                        continue  # a set that ended at the node itself
+                    nodes.append((depth, end, a, b))
+                    made += 1
+                    after.append((a, b, end))
+                counts.append(made)
+            level = after
+        self._finish(paths, nodes, firsts, counts)
+
+    def _finish(self, paths: list[np.ndarray], nodes: list[tuple[int, int, int, int]], firsts: list[int], counts: list[int]) -> None:
+        top, end, low, high = (np.array(x, np.int64) for x in zip(*nodes, strict=True))
+        self.top, self.end, self.low, self.high = top, end, low, high
+        runs = [paths[a][d:e] for d, e, a, _ in nodes]
+        self.stop = np.cumsum([len(r) for r in runs])
+        self.start = self.stop - (end - top)
+        self.runs = np.concatenate(runs).astype(np.int64)
+        self.last = self.codes[self.runs[self.stop - 1]]
+        #: The children of node k, the root being -1, are first[k + 1] and those after it.
+        self.first, self.count = np.array(firsts, np.int64), np.array(counts, np.int64)
+        ranges = np.column_stack([low, high]).ravel()
+        self.smallest = np.minimum.reduceat(np.append(self.sizes, self.sizes[-1]), ranges)[::2]
+        self.largest = np.maximum.reduceat(np.append(self.sizes, 0), ranges)[::2]
+        self.ranges = ranges
+        #: Sets equal to a node's path: they come first of the node's places.
+        self.closed = self.sizes[low] == end
+
+    def parts(self, labels: np.ndarray) -> np.ndarray:
+        """The label that all sets below a node have (``labels`` by place), or -1."""
+        least = np.minimum.reduceat(np.append(labels, labels[-1]), self.ranges)[::2]
+        most = np.maximum.reduceat(np.append(labels, -1), self.ranges)[::2]
+        return np.where(least == most, least, -1)
+
+    def walk(self, probe: np.ndarray, percent: int, skip: np.ndarray) -> np.ndarray:
+        """Places of the sets similar to ``probe``; nodes where ``skip`` holds are not entered."""
+        at = np.searchsorted(self.codes, probe)
+        at[at == len(self.codes)] = 0
+        marks = np.zeros(len(self.codes), np.int64)
+        marks[at[self.codes[at] == probe]] = 1
+        size, found = len(probe), []
+        node, overlap = np.array([-1]), np.zeros(1, np.int64)
+        while len(node):
+            width = self.count[node + 1]
+            shift = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+            child, overlap = np.repeat(self.first[node + 1], width) + shift, np.repeat(overlap, width)
+            fits = ~skip[child] & (100 * self.smallest[child] <= 100 * 100 * size // percent) & (100 * self.largest[child] >= percent * size)
+            child, overlap = child[fits], overlap[fits]
+            if not len(child):
+                break
+            length = self.end[child] - self.top[child]
+            first = np.cumsum(length) - length
+            run = self.runs[np.repeat(self.start[child] - first, length) + np.arange(length.sum())]
+            overlap = overlap + np.add.reduceat(marks[run], first)
+            ahead = np.searchsorted(probe, self.last[child])  # codes of the probe below the node's last one
+            most = overlap + np.minimum(self.largest[child] - self.end[child], ahead)
+            closed = self.closed[child] & (overlap * (100 + percent) >= percent * (size + self.end[child]))
+            for k in child[closed]:
+                place = self.low[k]
+                while place < self.high[k] and self.sizes[place] == self.end[k]:
+                    found.append(place)
+                    place += 1
+            alive = most * (100 + percent) >= percent * (size + self.smallest[child])
+            node, overlap = child[alive], overlap[alive]
+        return np.array(found, np.int64)
+
+
+def join_cell(names: list[int], parts: list[int], sets: list[np.ndarray], probes: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) that connect the parts of a cell: of the links between two parts, at least one that joins them.
+
+    Members have a name, a part and a set; every probe (name, part, set) walks the members' trie.
     """
-    size, out = len(shingles), []
-    classes = size_classes(percent, max(64, 1 << (size - 1).bit_length()) if size else 1)
-    at = next(k for k, (low, high) in enumerate(classes) if low <= size <= high)
-    mixed = _mix(shingles)
-    for c in (at, at - 1):
-        if c < 0 or classes[c][1] * 100 < percent * size and c != at:
+    trie = Trie(sets)
+    known: dict[int, int] = {}
+    label = [known.setdefault(p, len(known)) for p in parts]
+    mine = [known.setdefault(p, len(known)) for _, p, _ in probes]
+    root = np.arange(len(known))
+    places = np.array(label)[trie.order]
+    below, links = trie.parts(root[places]), []
+    for (name, _, codes), own in zip(probes, mine, strict=True):
+        hits = trie.walk(codes, percent, below == root[own])
+        if not len(hits):
             continue
-        count, differ = segments(percent, *classes[c])
-        if not count:
-            continue
-        place = ((shingles >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        with np.errstate(over="ignore"):
-            sums = np.add.reduceat(mixed, starts)
-            out.append(_mix(sums + _mix(place[starts] + np.uint64((c + 1) << 40))))
-        if count - len(starts) >= count - differ:
-            prefix = size - -(-size * percent // 100) + 1
-            out.append(_mix(shingles[:prefix] + np.uint64((c + 1) << 8 | 1)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-def matches(center: np.ndarray, members: list[np.ndarray], percent: int) -> list[int]:
-    """Which members are similar to the center, by a walk through the members' prefix tree.
-
-    A node is a range of the sorted members with the length of the prefix they
-    share and that prefix's overlap with the center.
-    """
-    order = sorted(range(len(members)), key=lambda k: members[k].byteswap().tobytes())
-    sets = [members[k] for k in order]
-    sizes = np.array([len(s) for s in sets])
-    need = lambda size: -(-percent * (len(center) + size) // (100 + percent))
-    found, stack = [], [(0, len(sets), 0, 0)] if sets else []
-    while stack:
-        low, high, depth, overlap = stack.pop()
-        first, last = sets[low], sets[high - 1]
-        common = min(len(first), len(last))
-        differ = np.flatnonzero(first[depth:common] != last[depth:common])
-        end = depth + int(differ[0]) if len(differ) else common
-        if end > depth:
-            run = first[depth:end]
-            at = np.searchsorted(center, run)
-            overlap += int((center[np.minimum(at, len(center) - 1)] == run).sum())
-        passed = int(np.searchsorted(center, first[end - 1], "right")) if end else 0
-        part = sizes[low:high]
-        if overlap + min(int(part.max()) - end, len(center) - passed) < need(int(part.min())):
-            continue
-        if sizes[low] == end:  # the set that ends here
-            if overlap >= need(end):
-                found.append(order[low])
-            low += 1
-        while low < high:
-            token, to = sets[low][end], low + 1
-            while to < high and sets[to][end] == token:
-                to += 1
-            stack.append((low, to, end, overlap))
-            low = to
-    return found
+        found, first = np.unique(root[places[hits]], return_index=True)
+        other = found != root[own]
+        links += [(name, names[trie.order[hits[k]]]) for k in first[other]]
+        if other.any():
+            root[np.isin(root, found)] = root[own]
+            below = trie.parts(root[places])
+    return links
 
 
 def _describe(n: int):
+    """(id, n, cls, row) of every document, and (slot, seen): how many of the task's sets have an n-gram there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen, kind = np.zeros(SLOTS, np.int64), set(), None
         for batch in batches:
-            sets = [shingle_set(t.as_py(), n) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), batch.column(2)], names=["id", "n", "cls", "row"]
-            )
+            kind = batch.column(0).type
+            size, cls = [], []
+            for text in batch.column(1):
+                shingles = shingle_set(text.as_py(), n)
+                size.append(len(shingles))
+                cls.append(class_of(shingles))
+                if cls[-1] is not None and cls[-1] not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(cls[-1])
+                    counts += np.bincount(slots_of(shingles), minlength=SLOTS)
+            none = pa.nulls(len(size), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), batch.column(2), none, none], names=["id", "n", "cls", "row", "slot", "seen"])
+        at = np.flatnonzero(counts)
+        if len(at):
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), none, none, none, pa.array(at), pa.array(counts[at])], names=["id", "n", "cls", "row", "slot", "seen"])
 
     return run
 
 
-def _emit(n: int, percent: int):
+def _emit(n: int, percent: int, ranks: np.ndarray):
+    """(key, cls): the prefix codes of every text's set, once for the copies within a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple[np.ndarray, int]] = []
@@ -180,14 +255,12 @@ def _emit(n: int, percent: int):
                 shingles = shingle_set(text.as_py(), n)
                 cls = class_of(shingles)
                 if cls is None or cls in seen:
-                    continue  # a copy in this task: its keys went out already
+                    continue  # a copy in this task: its codes went out already
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(cls)
-                keys = keys_of(shingles, percent)
-                if len(keys):
-                    held.append((keys, cls))
-                    rows += len(keys)
+                held.append((prefix_of(codes_of(shingles, ranks), percent), cls))
+                rows += len(held[-1][0])
                 if rows >= ROWS:
                     yield flush()
                     held, rows = [], 0
@@ -197,138 +270,113 @@ def _emit(n: int, percent: int):
     return run
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the elements that fall on each bit: two sketches never differ more than their sets.
-
-    About two bits an element, a power of two in all, so that a longer sketch
-    folds into a shorter one.
-    """
-    bits = max(512, 1 << (2 * len(shingles) - 1).bit_length())
-    odd = np.bincount((_mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
-
-
-def _fold(bits: np.ndarray, words: int) -> np.ndarray:
-    while len(bits) > words:
-        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
-    return bits
+def _sets(n: int, ranks: np.ndarray):
+    """(cls, size, codes) of texts, named anew from the text itself."""
 
-
-def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), n) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())],
-                names=["cls", "size", "elements", "sketch"],
+                [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([codes_of(s, ranks).tobytes() for s in sets], pa.binary())],
+                names=["cls", "size", "codes"],
             )
 
     return run
 
 
-def forests(sizes: np.ndarray, sketches: list[np.ndarray], parts: np.ndarray, percent: int, failed: set[tuple[int, int]], count: int) -> list[tuple[int, int]]:
-    """Edges (by place) that could connect the parts of a cell: up to ``count`` spanning forests of the pairs whose sketches allow a link.
+def _join_cells(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links (a, b) of sorted rows (cell, i, j, probe, cls, part, codes): a trie for each cell, one at a time in memory."""
 
-    The forests share no edge, so that one of them can stand in where a pair of
-    another fails.  Members with most possible partners come first, as the
-    original of many near copies would.
-    """
-    words = min(map(len, sketches))
-    bits, m = np.array([_fold(x, words) for x in sketches]), len(sizes)
-    near = np.zeros((m, m), bool)
-    for k in range(m - 1):
-        differ = np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(axis=1, dtype=np.int64)
-        near[k, k + 1 :] = (differ * (100 + percent) <= (sizes[k] + sizes[k + 1 :]) * (100 - percent)) & (parts[k + 1 :] != parts[k])
-    for a, b in failed:
-        near[min(a, b), max(a, b)] = False
-    near |= near.T
-    out: list[tuple[int, int]] = []
-    for _ in range(count):
-        at, before = parts.copy(), len(out)
-        degree = near.sum(axis=1)
-        for k in np.argsort(-degree, kind="stable")[: np.count_nonzero(degree)]:
-            partners = np.flatnonzero(near[k] & (at != at[k]))
-            if len(partners):
-                names, first = np.unique(at[partners], return_index=True)
-                out += [(int(k), int(partners[f])) for f in first]
-                at[np.isin(at, names)] = at[k]
-        if len(out) == before:
-            break
-        used = np.array(out[before:])
-        near[used[:, 0], used[:, 1]] = near[used[:, 1], used[:, 0]] = False
-    return out
-
-
-def _cells(percent: int, count: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Edges (key, a, b) of all cells of a task; cells are slices of the sorted rows."""
-        by = {c: rows[c].to_numpy() for c in rows.columns}
-        order = np.lexsort((by["cls"], by["gone"], by["j"], by["i"], by["key"]))
-        by = {c: x[order] for c, x in by.items()}
-        new = [by[c][1:] != by[c][:-1] for c in ("key", "i", "j")]
-        starts = np.concatenate([[0], np.flatnonzero(new[0] | new[1] | new[2]) + 1])
-        out: list[tuple[int, int, int]] = []
-        for low, high in zip(starts, np.append(starts[1:], len(order)), strict=True):
-            end = low + int(np.count_nonzero(~by["gone"][low:high]))
-            names, parts = by["cls"][low:end], by["part"][low:end]
-            if end - low < 2 or (parts == parts[0]).all():
-                continue
-            place = {c: k for k, c in enumerate(names.tolist())} if end < high else {}
-            gone = zip(by["cls"][end:high].tolist(), by["b"][end:high].tolist(), strict=True)
-            failed = {(place[a], place[b]) for a, b in gone if a in place and b in place}
-            edges = forests(by["size"][low:end], [np.frombuffer(x, np.uint64) for x in by["sketch"][low:end]], parts, percent, failed, count)
-            out += [(by["key"][low], min(names[a], names[b]), max(names[a], names[b])) for a, b in edges]
-        return pd.DataFrame(out, columns=["key", "a", "b"]).astype("int64")
+    def solve(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        names, parts, sets, probes = [], [], [], []
+        for batch in rows:
+            cls, part, probe = (batch.column(c).to_pylist() for c in ("cls", "part", "probe"))
+            for k, codes in enumerate(batch.column("codes")):
+                found = np.frombuffer(codes.as_buffer(), np.uint64)
+                if probe[k]:
+                    probes.append((cls[k], part[k], found))
+                else:
+                    names.append(cls[k])
+                    parts.append(part[k])
+                    sets.append(found)
+        return join_cell(names, parts, sets, probes, percent) if sets and probes else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at, links = None, []
+
+        def give() -> pa.RecordBatch:
+            a, b = zip(*links, strict=True) if links else ((), ())
+            links.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy() for c in ("cell", "i", "j")])
+            starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]]) if len(keys) else [0]
+            for low, high in zip(starts, starts[1:], strict=False):
+                key = tuple(keys[low])
+                if held and key != at:
+                    links += solve(held)
+                    held = []
+                at = key
+                held.append(batch.slice(low, high - low))
+            if len(links) >= 10_000:
+                yield give()
+        links += solve(held)
+        yield give()
 
     return run
 
 
-def _could_connect(shared: DataFrame, parts: DataFrame, sets: DataFrame, failed: DataFrame | None, percent: int, count: int) -> DataFrame:
-    """(key, a, b): pairs of different components that segments bring together and sketches allow, as forests of cells.
+def _cells(rows: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """Links of the cells' ``rows`` (cell, i, j, probe, cls, part), whose sets are joined to them."""
+    rows = rows.join(sets.select("cls", "codes"), "cls").select("cell", "i", "j", "probe", "cls", "part", "codes")
+    dealt = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return materialise(dealt.mapInArrow(_join_cells(percent), "a bigint, b bigint"), name)
 
-    A cell of more than CELL members is compared in pairs of blocks.  ``failed``
-    are pairs that proved not to be similar, and are not proposed again.
-    """
-    placed = shared.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("part"))
-    split = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks")).filter("p < q").select("key", "blocks")
-    cells = materialise(placed.join(split, "key"), "cells")
-    block = F.pmod(F.xxhash64("cls", F.lit("block")), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = cells.withColumn("block", block).select("*", other.alias("other")).select("key", "cls", "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = dealt.join(sets.select("cls", "size", "sketch"), "cls").withColumn("b", F.lit(0).cast("bigint")).withColumn("gone", F.lit(False))
-    if failed is not None:
-        ends = dealt.select("key", "i", "j", "cls")
-        gone = failed.join(ends.withColumnRenamed("cls", "a"), "a").join(ends.withColumnRenamed("cls", "b"), ["key", "i", "j", "b"], "left_semi")
-        # No column is ever null, or pandas would turn the 64-bit names into floats.
-        none = {"part": F.lit(0).cast("bigint"), "size": F.lit(0).cast("bigint"), "sketch": F.lit(b""), "gone": F.lit(True)}
-        rows = rows.unionByName(gone.select("key", "i", "j", F.col("a").alias("cls"), "b").withColumns(none))
-    spark = shared.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cells.count() // CELL_ROWS))
-    grouped = rows.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).cast("int")).groupBy("task")
-    return materialise(grouped.applyInPandas(_cells(percent, count), "key bigint, a bigint, b bigint"), "proposed")
-
-
-def _walk(percent: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        center = rows.loc[rows["cls"] == key[0], "elements"]
-        others = rows[rows["cls"] != key[0]]
-        if not len(center) or not len(others):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        members = [np.frombuffer(x, np.uint64) for x in others["elements"]]
-        hit = matches(np.frombuffer(center.iloc[0], np.uint64), members, percent)
-        return pd.DataFrame({"a": np.full(len(hit), key[0], np.int64), "b": others["cls"].to_numpy()[hit]})
 
-    return run
+def _blocks(count: Column, elements: Column) -> Column:
+    """Into how many blocks that many sets with that many n-grams are dealt; at least one."""
+    return F.greatest(F.ceil(count / TREE), F.ceil(elements / ELEMENTS), F.lit(1)).cast("long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar; a center's members are dealt to prefix trees of about TREE members."""
-    trees = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TREE).alias("trees"))
-    dealt = pairs.join(trees, "a").withColumn("tree", F.pmod(F.xxhash64("b"), F.col("trees")).cast("int"))
-    members = dealt.select("a", "tree", F.col("b").alias("cls"))
-    centers = dealt.select("a", "tree").distinct().withColumn("cls", F.col("a"))
-    rows = members.unionByName(centers).join(sets.select("cls", "elements"), "cls")
-    return materialise(rows.groupBy("a", "tree").applyInPandas(_walk(percent), "a bigint, b bigint"), "similar")
+def _dealt(name: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64("cls", F.lit(name)), F.col(blocks)).cast("long")
+
+
+def _every(blocks: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+
+
+def _star_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between a cell's least class and its other members, which are dealt to tries of bounded size."""
+    sized = stars.join(sets.select("cls", "size"), "cls")
+    trees = sized.groupBy("cell").agg(_blocks(F.count(F.lit(1)), F.sum("size")).alias("trees"))
+    members = sized.join(trees, "cell").select("cell", _dealt("tree", "trees").alias("i"), F.lit(False).alias("probe"), "cls")
+    centers = trees.select("cell", _every("trees").alias("i"), F.lit(True).alias("probe"), F.col("cell").alias("cls"))
+    rows = members.unionByName(centers).withColumns({"j": F.lit(0).cast("long"), "part": F.col("cls")})
+    return _cells(rows, sets, percent, "star-links")
+
+
+def _open_links(stars: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across the components that cells still have.
+
+    Every pair of different components has an end outside the cell's largest one,
+    so only those sets walk, each through all tries of the cell.
+    """
+    known = sets.select("cls", "size").join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "size", F.coalesce("component", "cls").alias("part"))
+    centers = stars.select("cell").distinct().withColumn("cls", F.col("cell"))
+    members = stars.unionByName(centers).join(known, "cls")
+    groups = members.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
+    whole = groups.groupBy("cell").agg(F.max(F.struct("n", "elements", "part")).alias("main"), F.sum("n").alias("n"), F.sum("elements").alias("elements"))
+    whole = whole.filter(F.col("n") > F.col("main.n")).select(
+        "cell", F.col("main.part").alias("main"), _blocks(F.col("n"), F.col("elements")).alias("tries"), _blocks(F.col("n") - F.col("main.n"), F.col("elements") - F.col("main.elements")).alias("turns")
+    )
+    placed = materialise(members.join(whole, "cell"), "open-cells")
+    stored = placed.withColumns({"probe": F.lit(False), "i": _dealt("trie", "tries")}).withColumn("j", _every("turns"))
+    probes = placed.filter("part <> main").withColumns({"probe": F.lit(True), "j": _dealt("turn", "turns")}).withColumn("i", _every("tries"))
+    columns = ["cell", "i", "j", "probe", "cls", "part"]
+    return _cells(stored.select(*columns).unionByName(probes.select(*columns)), sets, percent, "open-links")
 
 
 def _row(id_: Column, text: Column) -> Column:
@@ -345,42 +393,36 @@ def _linked(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
         raise ValueError("percent must be over 50 and at most 100")
     documents = documents.withColumn("row", _row(F.col("id"), F.col("text")))
     kind = documents.schema["id"].dataType.simpleString()
-    described = materialise(documents.select("id", "text", "row").mapInArrow(_describe(n), f"id {kind}, n bigint, cls bigint, row bigint"), "described")
+    described = documents.select("id", "text", "row").mapInArrow(_describe(n), f"id {kind}, n bigint, cls bigint, row bigint, slot bigint, seen bigint")
+    described = materialise(described, "described")
+    counts = np.zeros(SLOTS, np.int64)
+    for slot, seen in described.filter("slot is not null").groupBy("slot").agg(F.sum("seen")).collect():  # at most SLOTS rows
+        counts[slot] = seen
+    ranks = rank_slots(counts)
+    described = described.filter("slot is null").select("id", "n", "cls", "row")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     classes = materialise(described.filter("cls is not null").groupBy("cls").agg(first.alias("first")), "classes")
 
-    keys = documents.select("text").mapInArrow(_emit(n, percent), "key bigint, cls bigint")
-    group = Window.partitionBy("key")
-    shared = keys.withColumn("low", F.min("cls").over(group)).withColumn("high", F.max("cls").over(group)).filter("low < high")
-    # Copies in other tasks sent the same rows: one of each stays.
-    shared = materialise(shared.select("key", "cls", "low").distinct(), "segments")
-    stars = materialise(shared.filter("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
-    # Segments with the same classes say the same: one of them stays.
-    same = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
-    shared = materialise(shared.select("key", "cls").join(same.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "distinct-segments")
-    wanted = shared.select("cls").distinct().join(classes, "cls").select("first.row", "cls")
-    sets = materialise(documents.join(wanted, "row").dropDuplicates(["cls"]).select("text", "cls").mapInArrow(_sets(n), "cls bigint, size bigint, elements binary, sketch binary"), "sets")
-
-    links = _verified(stars, sets, percent)
-    parts, failed, open_, count = connected_components(links), None, shared, 1
-    while True:
-        proposed = _could_connect(open_, parts, sets, failed, percent, count)
-        if proposed.isEmpty():
-            break
-        found = _verified(proposed.select("a", "b").distinct(), sets, percent)
-        links = links.unionByName(found)
-        parts = connected_components(links)
-        # A cell whose whole forest proved similar is connected, and one without proposals stays so:
-        # only cells with a pair that failed can still propose another.
-        wrong = materialise(proposed.join(found, ["a", "b"], "left_anti"), "wrong")
-        if wrong.isEmpty():
-            break
-        count *= 4  # forests of a cell: ever more in the few cells that stay open, so that rounds are few
-        pairs = wrong.select("a", "b").distinct()
-        failed = materialise(pairs if failed is None else failed.unionByName(pairs).distinct(), "failed")
-        open_ = materialise(open_.join(wrong.select("key").distinct(), "key", "left_semi"), "open")
-
-    named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("part"), "first")
+    keys = materialise(documents.select("text").mapInArrow(_emit(n, percent, ranks), "key bigint, cls bigint"), "prefixes")
+    # A least and a greatest class a code combine before the shuffle; most codes have one class and end here.
+    least = keys.groupBy("key").agg(F.min("cls").alias("cell"), F.max("cls").alias("high")).filter("cell < high").select("key", "cell")
+    stars = materialise(keys.join(least, "key").filter("cls <> cell").select("cell", "cls").distinct(), "stars")
+    wanted = stars.select("cls").union(stars.select("cell")).distinct().join(classes, "cls").select("first.row")
+    texts = documents.join(wanted, "row").dropDuplicates(["row"]).select("text")
+    sets = materialise(texts.mapInArrow(_sets(n, ranks), "cls bigint, size bigint, codes binary"), "sets")
+
+    links = _star_links(stars, sets, percent)
+    parts = connected_components(links)
+    more = _open_links(stars, parts, sets, percent)
+    if not more.isEmpty():
+        # The links found last run between the components of the first, which are far fewer than the classes.
+        name = parts.withColumnsRenamed({"node": "x", "component": "px"})
+        ends = more.join(name.withColumnsRenamed({"x": "a", "px": "pa"}), "a", "left").join(name.withColumnsRenamed({"x": "b", "px": "pb"}), "b", "left")
+        merged = connected_components(ends.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")))
+        named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("node", F.coalesce("component", "cls")).drop("component")
+        named = named.join(merged, "node", "left").select("cls", F.coalesce("component", "node").alias("part"), "first")
+    else:
+        named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("part"), "first")
     return described.select("id", "n", "cls"), named
 
 
