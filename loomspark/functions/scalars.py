@@ -33,6 +33,13 @@ def json_text(value: Column) -> Column:
     return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
 
 
+def json_kind(text: Column) -> Column:
+    """The kind of a JSON text by its first character; SQL null is ``null``."""
+    first = F.substring(F.ltrim(text), 1, 1)
+    kind = F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(first.isin("t", "f"), "boolean").when(first == "n", "null").otherwise("number")
+    return F.when(text.isNull(), "null").otherwise(kind)
+
+
 def json_object(pairs: list[tuple[str, Column, Column]]) -> Column:
     """JSON object text of (key, value, present) in the given order; absent keys are left out."""
     entries = [F.when(present, F.concat(F.lit(f'"{key}":'), json_text(value))) for key, value, present in pairs]

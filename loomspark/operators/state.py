@@ -1,30 +1,41 @@
 """Orchestration over snapshots: whole tables of runs, step states and tasks in, new tables out.
 
-Each operator applies a batch of starts, completions or failures of any number
-of runs in one DataFrame plan.  Payloads are JSON text.  Definitions (steps and
-dependencies of a flow) are small and are read by the driver, so the depth of the
-graph is known and propagation is unrolled, without loops over data.
-
-Columns: runs(run_id, status, input, output); states(run_id, step_slug, status,
-initial_tasks, output, error, skip_reason); tasks(run_id, step_slug, task_index,
-status, attempts_count, output, error, visible_at, worker).
+Each operator applies a batch of starts, completions or failures of any number of
+runs.  Payloads are JSON text.  A flow's definition is small and known when the
+plan is built, so a run is folded as one row: its step states become columns, and
+conditions, skips, empty maps and starts are decided wave by wave as projections.
+A call joins a fixed number of times whatever the depth of the graph, and ends by
+writing its two tables to the shared folder, so plans do not grow over calls either.
+
+``Snapshot.events`` are those of the last call.  A task's row also stands for its
+message: ``visible_at`` is when it may be read, ``archived_at`` when it left the queue.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
-from loomspark.functions.scalars import retry_delay, visible_at
+from loomspark.functions.scalars import json_kind, retry_delay, visible_at
 from loomspark.plans.containment import condition_met
-from loomspark.plans.flow import Flow
+from loomspark.plans.flow import Flow, Step
+from loomspark.session import written
 
 GRACE_SECONDS, MAX_REQUEUES, LEASE_SECONDS = 30, 3, 2
-RUNS = "run_id string, status string, input string, output string"
-STATES = "run_id string, step_slug string, status string, initial_tasks int, output string, error string, skip_reason string"
-TASKS = "run_id string, step_slug string, task_index int, status string, attempts_count int, output string, error string, visible_at timestamp, worker string"
+RUNS = "run_id string, status string, input string, output string, remaining_steps int, started_at timestamp, ended_at timestamp"
+STATES = "run_id string, step_slug string, status string, initial_tasks int, remaining_tasks int, remaining_deps int, output string, error string, skip_reason string, started_at timestamp, ended_at timestamp"
+TASKS = (
+    "run_id string, step_slug string, task_index int, status string, attempts_count int, output string, error string, visible_at timestamp, "
+    "worker string, started_at timestamp, ended_at timestamp, requeued_count int, permanently_stalled_at timestamp, archived_at timestamp"
+)
+EVENTS = "run_id string, seq int, event_type string, step_slug string, status string, payload string, at timestamp"
+KEYS = ["run_id", "step_slug", "task_index"]
+#: The columns that a step has in a run's row, each followed by the step's number.
+_FIELDS = {"was": "string", "status": "string", "initial_tasks": "int", "remaining_tasks": "int", "output": "string", "error": "string", "skip_reason": "string", "started_at": "timestamp", "ended_at": "timestamp"}
+_DONE = ("completed", "skipped")
 
 
 @dataclass(frozen=True)
@@ -33,6 +44,7 @@ class Snapshot:
     runs: DataFrame
     states: DataFrame
     tasks: DataFrame
+    events: DataFrame | None = None
 
 
 def stalled(tasks: DataFrame, now: Column, timeout: Column) -> DataFrame:
@@ -43,245 +55,365 @@ def stalled(tasks: DataFrame, now: Column, timeout: Column) -> DataFrame:
 
 
 def requeue_stalled(tasks: DataFrame, now: Column, timeout: Column) -> DataFrame:
-    """All tasks, with stalled ones queued again (attempts untouched) or marked as given up."""
+    """All tasks, with stalled ones queued again (attempts untouched, visible at once) or given up and archived.
+
+    The columns ``worker``, ``visible_at`` and ``archived_at`` follow where ``tasks`` has them.
+    """
     limit = now - F.make_dt_interval(secs=(timeout + GRACE_SECONDS).cast("decimal(18,6)"))
     hit = (F.col("status") == "started") & F.col("permanently_stalled_at").isNull() & (F.col("started_at") < limit)
     again = hit & (F.col("requeued_count") < MAX_REQUEUES)
-    return tasks.withColumns(
-        {
-            "status": F.when(again, "queued").otherwise(F.col("status")),
-            "started_at": F.when(~again, F.col("started_at")),
-            "requeued_count": F.col("requeued_count") + again.cast("int"),
-            "permanently_stalled_at": F.when(hit & ~again, now).otherwise(F.col("permanently_stalled_at")),
-        }
+    change = {
+        "status": F.when(again, "queued").otherwise(F.col("status")),
+        "started_at": F.when(~again, F.col("started_at")),
+        "requeued_count": F.col("requeued_count") + again.cast("int"),
+        "permanently_stalled_at": F.when(hit & ~again, now).otherwise(F.col("permanently_stalled_at")),
+    }
+    if "worker" in tasks.columns:
+        change["worker"] = F.when(~again, F.col("worker"))
+    if "visible_at" in tasks.columns:
+        change["visible_at"] = F.when(again, now).otherwise(F.col("visible_at"))
+    if "archived_at" in tasks.columns:
+        change["archived_at"] = F.when(hit & ~again, now).otherwise(F.col("archived_at"))
+    return tasks.withColumns(change)
+
+
+def requeue(snap: Snapshot, now: Column) -> Snapshot:
+    """The snapshot with its stalled tasks queued again or given up; the timeout is the flow's."""
+    timeout = F.lit(snap.flow.options.get("timeout", 60))
+    return Snapshot(snap.flow, snap.runs, snap.states, requeue_stalled(snap.tasks, now, timeout), snap.runs.sparkSession.createDataFrame([], EVENTS))
+
+
+def messages(snap: Snapshot) -> DataFrame:
+    """The queue of the snapshot's open tasks: queue_name, msg_id, read_ct, vt, message (JSON)."""
+    body = F.to_json(F.struct(F.lit(snap.flow.slug).alias("flow_slug"), *KEYS))
+    return snap.tasks.filter("archived_at is null").select(
+        F.lit(snap.flow.slug).alias("queue_name"), F.concat_ws("/", *KEYS).alias("msg_id"), F.col("attempts_count").alias("read_ct"), F.col("visible_at").alias("vt"), body.alias("message")
     )
 
 
-def _array_length(text: Column) -> Column:
-    """Length of a JSON array; null for anything else."""
-    return F.json_array_length(text)
+def _by_step(flow: Flow, value) -> Column:
+    """A constant per step, chosen by ``step_slug``."""
+    pairs = [x for s in flow.steps for x in (F.lit(s.slug), F.lit(value(s)))]
+    return F.element_at(F.create_map(*pairs), F.col("step_slug"))
 
 
-def start_runs(flow: Flow, inputs: DataFrame, now: Column) -> tuple[Snapshot, DataFrame]:
-    """(snapshot after the start, rejected inputs): a root map rejects an input that is no array."""
-    root_map = any(s.kind == "map" and not s.depends_on for s in flow.steps)
-    fits = F.col("input").isNotNull() & (_array_length(F.col("input")).isNotNull() if root_map else F.lit(True))
-    fits = F.coalesce(fits, F.lit(False))
-    spark = inputs.sparkSession
-    runs = inputs.filter(fits).select(F.col("run_id").cast("string").alias("run_id"), F.lit("started").alias("status"), "input", F.lit(None).cast("string").alias("output"))
-    rows = [F.struct(F.lit(s.slug).alias("step_slug"), F.when(F.lit(s.kind == "single"), F.lit(1)).when(F.lit(not s.depends_on), _array_length(F.col("input"))).alias("initial_tasks")) for s in flow.steps]
-    states = runs.select("run_id", F.explode(F.array(*rows)).alias("s")).select("run_id", "s.step_slug", F.lit("created").alias("status"), "s.initial_tasks", *[F.lit(None).cast("string").alias(c) for c in ("output", "error", "skip_reason")])
-    return advance(Snapshot(flow, runs, states, spark.createDataFrame([], TASKS)), now), inputs.filter(~fits)
+def _named(flow: Flow, test) -> Column:
+    return F.col("step_slug").isin(*[s.slug for s in flow.steps if test(s)] or [""])
 
 
-def _inputs(snap: Snapshot, states: DataFrame) -> DataFrame:
-    """(run_id, step_slug, parents, parents_done, object, sources) of steps with dependencies.
+def _object(pairs: list[tuple[str, Column, Column]]) -> Column:
+    """JSON object of (key, JSON text, present); a missing value is null."""
+    parts = [F.when(present, F.concat(F.lit(f'"{key}":'), F.coalesce(text, F.lit("null")))) for key, text, present in pairs]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
-    ``object`` is the JSON object of the completed parents' outputs: a skipped
-    parent has no key.
-    """
-    spark = snap.runs.sparkSession
-    edges = spark.createDataFrame([(d, s.slug) for s in snap.flow.steps for d in s.depends_on] or [("", "")], "dep string, child string")
-    joined = states.join(F.broadcast(edges), F.col("step_slug") == F.col("dep"))
-    entry = F.concat(F.lit('"'), F.col("dep"), F.lit('":'), F.coalesce("output", F.lit("null")))
-    return joined.groupBy("run_id", F.col("child").alias("step_slug")).agg(
-        F.bool_and(F.col("status").isin("completed", "skipped")).alias("parents_done"),
-        F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == "completed", entry))), ","), F.lit("}")).alias("object"),
-        F.max(F.when(F.col("status") == "completed", F.col("output"))).alias("only_output"),
-        F.max(F.struct(F.col("status"), F.col("initial_tasks")))["status"].alias("only_status"),
-        F.bool_or((F.col("status") == "skipped") & F.col("skip_reason").isNotNull() & F.col("cascading")).alias("cascaded"),
-    )
 
+def _parents(flow: Flow, s: Step) -> list[int]:
+    place = {x.slug: k for k, x in enumerate(flow.steps)}
+    return [place[d] for d in s.depends_on]
 
-def _cascading(flow: Flow) -> Column:
-    """Whether a skip of this state takes descendants along."""
-    out = F.lit(False)
-    for s in flow.steps:
-        mine = F.col("step_slug") == s.slug
-        if s.when_unmet == "skip-cascade":
-            out = out | mine & (F.col("skip_reason") == "condition_unmet")
-        if s.when_exhausted == "skip-cascade":
-            out = out | mine & (F.col("skip_reason") == "handler_failed")
-    return out | (F.col("skip_reason") == "dependency_skipped")
-
-
-def _wave(snap: Snapshot) -> DataFrame:
-    """States after one wave of conditions, skips, empty maps and starts."""
-    flow, states = snap.flow, snap.states.withColumn("cascading", F.coalesce(_cascading(snap.flow), F.lit(False)))
-    live = snap.runs.filter("status = 'started'").select("run_id", F.col("input").alias("run_input"))
-    rows = states.drop("cascading").join(live, "run_id", "left").join(_inputs(snap, states), ["run_id", "step_slug"], "left")
-    roots = F.col("step_slug").isin(*[s.slug for s in flow.steps if not s.depends_on] or [""])
-    given = F.parse_json(F.when(roots, F.col("run_input")).otherwise(F.coalesce("object", F.lit("{}"))))
-    from pyspark.sql.types import VariantType
-
-    met = F.lit(True)
-    for s in flow.steps:
-        if s.if_ is not None or s.if_not is not None:
-            met = F.when(F.col("step_slug") == s.slug, condition_met(given, VariantType(), s.if_, s.if_not)).otherwise(met)
-    named = lambda test: F.col("step_slug").isin(*[s.slug for s in flow.steps if test(s)] or [""])
-    created = (F.col("status") == "created") & F.col("run_input").isNotNull()
-    cascaded = created & F.coalesce("cascaded", F.lit(False))
-    open_ = created & ~cascaded & F.when(roots, True).otherwise(F.coalesce("parents_done", F.lit(False)))
-    fails = open_ & ~met & named(lambda s: s.when_unmet == "fail")
-    rows = rows.withColumns({"__fails": fails, "__open": open_, "__cascaded": cascaded, "__met": met})
-    index = F.array_position(F.array(*[F.lit(s.slug) for s in flow.steps]), F.col("step_slug"))
-    first = rows.filter("__fails").groupBy("run_id").agg(F.min_by("step_slug", index).alias("__failed"))
-    rows = rows.join(first, "run_id", "left")
-    fine = F.col("__failed").isNull()
-    fanned = named(lambda s: s.kind == "map" and bool(s.depends_on))
-    tasks = F.when(fanned, F.coalesce(_array_length(F.col("only_output")), F.lit(0))).otherwise(F.col("initial_tasks"))
-    skip = fine & F.col("__open") & ~F.col("__met")
-    go = fine & F.col("__open") & F.col("__met")
-    empty = go & (tasks == 0)
-    return rows.select(
-        "run_id", "step_slug",
-        F.when(F.col("__failed") == F.col("step_slug"), "failed").when(fine & F.col("__cascaded"), "skipped").when(skip, "skipped").when(empty, "completed").when(go, "started").otherwise(F.col("status")).alias("status"),
-        F.when(go, tasks).otherwise(F.col("initial_tasks")).cast("int").alias("initial_tasks"),
-        F.when(empty, F.lit("[]")).otherwise(F.col("output")).alias("output"),
-        F.when(F.col("__failed") == F.col("step_slug"), "Condition not met").otherwise(F.col("error")).alias("error"),
-        F.when(fine & F.col("__cascaded"), "dependency_skipped").when(skip, "condition_unmet").otherwise(F.col("skip_reason")).alias("skip_reason"),
-    )
+
+def _cascades(flow: Flow, k: int) -> Column:
+    """Whether the skip of step ``k`` takes its descendants along."""
+    s, why = flow.steps[k], F.col(f"skip_reason{k}")
+    out = why == "dependency_skipped"
+    if s.when_unmet == "skip-cascade":
+        out = out | (why == "condition_unmet")
+    if s.when_exhausted == "skip-cascade":
+        out = out | (why == "handler_failed")
+    return F.coalesce(out, F.lit(False))
 
 
-def advance(snap: Snapshot, now: Column) -> Snapshot:
-    """Conditions, skips, empty maps, task creation and run completion, as far as they reach.
+def _fold(flow: Flow, wide: DataFrame, now: Column) -> DataFrame:
+    """Rows of runs after conditions, skips, empty maps and starts, as far as they reach, and the run's end.
 
-    The graph's depth bounds how far one batch can reach, so the waves are unrolled.
+    In a wave all conditions are decided first: the first that fails the run (by
+    step index) stops everything after it, and no step starts in that call.
     """
-    flow = snap.flow
-    for _ in range(len(flow.waves())):
-        states = _wave(snap)
-        failed = states.filter("status = 'failed'").select("run_id").distinct().withColumn("__f", F.lit(True))
-        runs = snap.runs.join(failed, "run_id", "left").withColumn("status", F.when((F.col("status") == "started") & F.col("__f"), "failed").otherwise(F.col("status"))).drop("__f")
-        snap = replace(snap, states=states, runs=runs)
-    known = snap.tasks.select("run_id", "step_slug").distinct()
-    fresh = snap.states.filter("status = 'started' and initial_tasks > 0").join(known, ["run_id", "step_slug"], "left_anti")
-    fresh = fresh.join(snap.runs.filter("status = 'started'").select("run_id"), "run_id")
-    delay = F.lit(0)
-    for s in flow.steps:
-        delay = F.when(F.col("step_slug") == s.slug, s.options.get("start_delay", 0)).otherwise(delay)
-    made = fresh.select("run_id", "step_slug", F.explode(F.sequence(F.lit(0), F.col("initial_tasks") - 1)).alias("task_index"), visible_at(now, delay).cast("timestamp").alias("visible_at"))
-    null = F.lit(None).cast("string")
-    made = made.select("run_id", "step_slug", "task_index", F.lit("queued").alias("status"), F.lit(0).alias("attempts_count"), null.alias("output"), null.alias("error"), "visible_at", null.alias("worker"))
-    return replace(snap, tasks=snap.tasks.unionByName(made), runs=_complete_runs(snap))
-
-
-def _complete_runs(snap: Snapshot) -> DataFrame:
-    """Runs without an open step complete; their output is the object of completed leaves, null where none."""
-    leaves = [s.slug for s in snap.flow.leaves()]
-    entry = F.concat(F.lit('"'), F.col("step_slug"), F.lit('":'), F.coalesce("output", F.lit("null")))
-    leaf = (F.col("status") == "completed") & F.col("step_slug").isin(*leaves)
-    ends = snap.states.groupBy("run_id").agg(
-        F.bool_and(F.col("status").isin("completed", "skipped")).alias("__done"),
-        F.array_join(F.array_sort(F.collect_list(F.when(leaf, entry))), ",").alias("__output"),
-    )
-    rows = snap.runs.join(ends, "run_id", "left")
-    done = (F.col("status") == "started") & F.coalesce("__done", F.lit(False))
-    output = F.when(F.col("__output") != "", F.concat(F.lit("{"), F.col("__output"), F.lit("}")))
-    return rows.select("run_id", F.when(done, "completed").otherwise(F.col("status")).alias("status"), "input", F.when(done, output).otherwise(F.col("output")).alias("output"))
+    place = {s.slug: k for k, s in enumerate(flow.steps)}
+    df = wide.withColumn("__open", F.col("status") == "started")
+    for wave in flow.waves():
+        gates, unmet = {}, {}
+        for s in wave:
+            k, parents = place[s.slug], _parents(flow, s)
+            resolved, cascaded = F.lit(True), F.lit(False)
+            for p in parents:
+                resolved, cascaded = resolved & F.col(f"status{p}").isin(*_DONE), cascaded | _cascades(flow, p)
+            created = F.col("__open") & (F.col(f"status{k}") == "created")
+            gates[f"__cascaded{k}"], gates[f"__ready{k}"] = created & cascaded, created & ~cascaded & resolved
+            if s.if_ is not None or s.if_not is not None:
+                given = _object([(flow.steps[p].slug, F.col(f"output{p}"), F.col(f"status{p}") == "completed") for p in parents]) if parents else F.col("input")
+                unmet[k] = ~condition_met(F.parse_json(given), VariantType(), s.if_, s.if_not)
+        df = df.withColumns(gates)
+        if unmet:
+            df = df.withColumns({f"__unmet{k}": F.col(f"__ready{k}") & x for k, x in unmet.items()})
+        blocked = F.lit(None).cast("int")
+        for k in sorted(unmet, reverse=True):
+            if flow.steps[k].when_unmet == "fail":
+                blocked = F.when(F.col(f"__unmet{k}"), k).otherwise(blocked)
+        df = df.withColumn("__blocked", blocked)
+        new = {"__open": F.col("__open") & F.col("__blocked").isNull()}
+        for s in wave:
+            k, parents = place[s.slug], _parents(flow, s)
+            fails, fine = F.col("__blocked") == k, F.col("__blocked").isNull()
+            skip = fine & F.col(f"__unmet{k}") if k in unmet else F.lit(False)
+            cascaded, go = fine & F.col(f"__cascaded{k}"), fine & F.col(f"__ready{k}") & ~skip
+            tasks = F.col(f"initial_tasks{k}")
+            if s.kind == "map" and parents:
+                tasks = F.when(F.col(f"status{parents[0]}") == "completed", F.coalesce(F.json_array_length(f"output{parents[0]}"), F.lit(0))).otherwise(0)
+            empty = go & (tasks == 0)
+            new |= {
+                f"status{k}": F.when(fails, "failed").when(cascaded | skip, "skipped").when(empty, "completed").when(go, "ready").otherwise(F.col(f"status{k}")),
+                f"initial_tasks{k}": F.when(go, tasks).otherwise(F.col(f"initial_tasks{k}")),
+                f"remaining_tasks{k}": F.when(go, tasks).otherwise(F.col(f"remaining_tasks{k}")),
+                f"output{k}": F.when(empty, "[]").otherwise(F.col(f"output{k}")),
+                f"error{k}": F.when(fails, "Condition not met").otherwise(F.col(f"error{k}")),
+                f"skip_reason{k}": F.when(cascaded, "dependency_skipped").when(skip, "condition_unmet").otherwise(F.col(f"skip_reason{k}")),
+                f"started_at{k}": F.when(go, now).otherwise(F.col(f"started_at{k}")),
+                f"ended_at{k}": F.when(fails | cascaded | skip | empty, now).otherwise(F.col(f"ended_at{k}")),
+            }
+        df = df.withColumns(new).drop("__blocked", *gates, *[f"__unmet{k}" for k in unmet])
+    steps = range(len(flow.steps))
+    left = F.lit(0)
+    for k in steps:
+        left = left + (~F.col(f"status{k}").isin(*_DONE)).cast("int")
+    waits = {f"status{k}": F.when(F.col(f"status{k}") != "ready", F.col(f"status{k}")).when(F.col("__open"), "started").otherwise("created") for k in steps}
+    begun = {f"started_at{k}": F.when((F.col(f"status{k}") != "ready") | F.col("__open"), F.col(f"started_at{k}")) for k in steps}
+    df = df.withColumns({**begun, "remaining_steps": left})
+    df = df.withColumns(waits)
+    done = F.col("__open") & (F.col("remaining_steps") == 0)
+    leaves = sorted(flow.leaves(), key=lambda s: s.slug)
+    some = F.lit(False)
+    for s in leaves:
+        some = some | (F.col(f"status{place[s.slug]}") == "completed")
+    output = F.when(some, _object([(s.slug, F.col(f"output{place[s.slug]}"), F.col(f"status{place[s.slug]}") == "completed") for s in leaves]))
+    ends = done | ~F.col("__open") & (F.col("status") == "started")
+    return df.withColumns(
+        {
+            "output": F.when(done, output).otherwise(F.col("output")), "ended_at": F.when(ends, now).otherwise(F.col("ended_at")), "__ends": ends,
+            "status": F.when(done, "completed").when(ends, "failed").otherwise(F.col("status")),
+        }
+    ).drop("__open")
+
+
+def _widen(flow: Flow, runs: DataFrame, states: DataFrame) -> DataFrame:
+    """One row a run: its columns, and those of ``_FIELDS`` of each step."""
+    fields = [f for f in _FIELDS if f != "was"]
+    entries = F.map_from_entries(F.collect_list(F.struct("step_slug", F.struct("was", *fields))))
+    grouped = states.groupBy("run_id").agg(entries.alias("__states"))
+    columns = [F.col("__states")[s.slug][f].alias(f"{f}{k}") for k, s in enumerate(flow.steps) for f in _FIELDS]
+    return runs.join(grouped, "run_id", "left").select(*runs.columns, *columns)
+
+
+def _narrow(flow: Flow, wide: DataFrame) -> DataFrame:
+    """The step states of the runs' rows, with ``__run``, the status of their run."""
+    rows = []
+    for k, s in enumerate(flow.steps):
+        open_ = sum(((~F.col(f"status{p}").isin(*_DONE)).cast("int") for p in _parents(flow, s)), F.lit(0))
+        rest = [F.col(f"{f}{k}").alias(f) for f in _FIELDS if f not in ("was", "status", "initial_tasks", "remaining_tasks")]
+        rows.append(F.struct(F.lit(s.slug).alias("step_slug"), F.col(f"status{k}").alias("status"), F.col(f"initial_tasks{k}").alias("initial_tasks"), F.col(f"remaining_tasks{k}").alias("remaining_tasks"), open_.alias("remaining_deps"), *rest))
+    return wide.select("run_id", F.col("status").alias("__run"), F.explode(F.array(*rows)).alias("s")).select("run_id", "__run", "s.*")
+
+
+def _events(flow: Flow, wide: DataFrame, now: Column) -> DataFrame:
+    """The events of a call, by comparing each step with what it was before."""
+    wave = {s.slug: w for w, steps in enumerate(flow.waves()) for s in steps}
+    shared = [F.col("run_id"), F.lit(flow.slug).alias("flow_slug")]
+
+    def event(seq: int, kind: Column, slug: str | None, status: Column, payload: list[Column], when: Column) -> Column:
+        body = F.to_json(F.struct(*shared, status.alias("status"), *payload))
+        return F.when(when, F.struct(F.lit(seq).alias("seq"), kind.alias("event_type"), F.lit(slug).cast("string").alias("step_slug"), status.alias("status"), body.alias("payload")))
+
+    rows = [event(0, F.lit("run:started"), None, F.lit("started"), [F.col("input"), F.col("remaining_steps")], F.col("__new"))]
+    for k, s in enumerate(flow.steps):
+        status = F.col(f"status{k}")
+        moved = ~status.eqNullSafe(F.col(f"was{k}")) & (status != "created")
+        detail = [F.lit(s.slug).alias("step_slug"), *[F.col(f"{f}{k}").alias(f) for f in ("output", "error", "skip_reason", "remaining_tasks", "started_at", "ended_at")]]
+        rows.append(event(1 + wave[s.slug] * len(flow.steps) + k, F.concat(F.lit("step:"), status), s.slug, status, detail, moved))
+    last = 1 + len(flow.steps) * (1 + max(wave.values(), default=0))
+    rows.append(event(last, F.concat(F.lit("run:"), F.col("status")), None, F.col("status"), [F.col("output"), F.col("ended_at")], F.col("__ends")))
+    found = wide.select("run_id", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("e")).select("run_id", "e.*")
+    return found.withColumn("at", now)
+
+
+def _finish(flow: Flow, wide: DataFrame, tasks: DataFrame | None, now: Column) -> Snapshot:
+    """The snapshot of folded rows: new tasks join ``tasks``, and those of failed runs and skipped steps leave the queue."""
+    wide = written(wide, "runs")
+    kinds = dict(c.split() for c in TASKS.split(", "))
+    runs, states = wide.select(*[c.split()[0] for c in RUNS.split(", ")]), _narrow(flow, wide)
+    starts = [
+        F.when((F.col(f"status{k}") == "started") & ~F.col(f"was{k}").eqNullSafe("started"), F.struct(F.lit(s.slug).alias("step_slug"), F.col(f"initial_tasks{k}").alias("n"), F.lit(s.options.get("start_delay", 0)).alias("delay")))
+        for k, s in enumerate(flow.steps)
+    ]
+    fresh = wide.filter("status = 'started'").select("run_id", F.explode(F.filter(F.array(*starts), lambda x: x.isNotNull())).alias("s"))
+    made = fresh.select("run_id", "s.step_slug", visible_at(now, F.col("s.delay")).cast("timestamp").alias("visible_at"), F.explode(F.sequence(F.lit(0), F.col("s.n") - 1)).alias("task_index"))
+    start = {"status": F.lit("queued"), "attempts_count": F.lit(0), "requeued_count": F.lit(0)}
+    made = made.withColumns({c: start.get(c, F.lit(None)).cast(kind) for c, kind in kinds.items() if c not in (*KEYS, "visible_at")}).select(*kinds)
+    if tasks is not None:
+        gone = states.filter("__run = 'failed' or status = 'skipped'").select("run_id", "step_slug").withColumn("__gone", F.lit(True))
+        leaves = F.col("__gone").isNotNull() & F.col("archived_at").isNull()
+        made = tasks.join(gone, ["run_id", "step_slug"], "left").withColumn("archived_at", F.when(leaves, now).otherwise(F.col("archived_at"))).select(*kinds).unionByName(made)
+    return Snapshot(flow, runs, states.drop("__run"), made, _events(flow, wide, now))
+
+
+def _settle(snap: Snapshot, states: DataFrame, tasks: DataFrame, now: Column) -> Snapshot:
+    """The snapshot after a report changed ``states`` (``was`` tells what they were) and ``tasks``.
+
+    A run with a failed step fails before anything else of it moves.
+    """
+    wide = _widen(snap.flow, snap.runs.withColumn("__new", F.lit(False)), states)
+    bad = F.lit(False)
+    for k in range(len(snap.flow.steps)):
+        bad = bad | F.coalesce(F.col(f"status{k}") == "failed", F.lit(False))
+    # A failed run passes the fold untouched: it is no longer open.
+    fails = (F.col("status") == "started") & bad
+    wide = wide.withColumn("__fails", fails).withColumn("status", F.when(F.col("__fails"), "failed").otherwise(F.col("status")))
+    folded = _fold(snap.flow, wide, now)
+    ended = F.when(F.col("__fails"), now).otherwise(F.col("ended_at"))
+    folded = folded.withColumns({"ended_at": ended, "__ends": F.col("__ends") | F.col("__fails")}).drop("__fails")
+    return _finish(snap.flow, folded, tasks, now)
+
+
+def start_runs(flow: Flow, inputs: DataFrame, now: Column) -> tuple[Snapshot, DataFrame]:
+    """(snapshot after the start, rejected inputs): a root map rejects an input that is no array; null inputs are rejected."""
+    root_map = any(s.kind == "map" and not s.depends_on for s in flow.steps)
+    fits = F.col("input").isNotNull() & (F.json_array_length("input").isNotNull() if root_map else F.lit(True))
+    fits = F.coalesce(fits, F.lit(False))
+    none = lambda kind: F.lit(None).cast(kind)
+    run = {"status": F.lit("started"), "output": none("string"), "started_at": now.cast("timestamp"), "ended_at": none("timestamp"), "__new": F.lit(True)}
+    runs = inputs.filter(fits).select(F.col("run_id").cast("string").alias("run_id"), F.col("input")).withColumns(run)
+    step = {"status": F.lit("created")}
+    columns = {}
+    for k, s in enumerate(flow.steps):
+        step["initial_tasks"] = F.lit(1) if s.kind == "single" else none("int") if s.depends_on else F.json_array_length("input")
+        columns |= {f"{f}{k}": step.get(f, none(kind)).cast(kind) for f, kind in _FIELDS.items()}
+    return _finish(flow, _fold(flow, runs.withColumns(columns), now), None, now), inputs.filter(~fits)
+
+
+def _reported(snap: Snapshot, reports: DataFrame) -> DataFrame:
+    """Tasks with the columns of their report, ``__hit`` where there is one, and ``__run`` and ``__step``, the statuses it meets."""
+    found = snap.tasks.join(reports.withColumn("__hit", F.lit(True)), KEYS, "left")
+    states = snap.states.select("run_id", "step_slug", F.col("status").alias("__step"))
+    runs = snap.runs.select("run_id", F.col("status").alias("__run"))
+    joined = found.join(states, ["run_id", "step_slug"], "left").join(runs, "run_id", "left")
+    return joined.withColumn("__hit", F.coalesce("__hit", F.lit(False)))
 
 
 def start_tasks(snap: Snapshot, chosen: DataFrame, worker: str, now: Column) -> tuple[Snapshot, DataFrame]:
-    """(snapshot, task records with their input) for queued tasks among ``chosen`` (run_id, step_slug, task_index)."""
-    flow, keys = snap.flow, ["run_id", "step_slug", "task_index"]
-    live = snap.runs.filter("status = 'started'").select("run_id", F.col("input").alias("flow_input"))
-    open_ = snap.states.filter("status = 'started'").select("run_id", "step_slug")
-    hit = snap.tasks.filter("status = 'queued'").join(chosen.select(*keys).distinct(), keys, "left_semi").join(open_, ["run_id", "step_slug"], "left_semi").join(live, "run_id")
-    timeout = F.lit(0)
+    """(snapshot, task records with their input) for queued tasks among ``chosen`` (run_id, step_slug, task_index).
+
+    Only tasks of started steps in started runs start; a skipped parent has no
+    key in the input, and ``flow_input`` is given to single root steps alone.
+    """
+    flow = snap.flow
+    tasks = _reported(snap, chosen.select(*KEYS).distinct())
+    mine = F.col("__hit") & (F.col("status") == "queued") & (F.col("__step") == "started") & (F.col("__run") == "started")
+    tasks = tasks.withColumn("__mine", F.coalesce(mine, F.lit(False)))
+    lease = _by_step(flow, lambda s: flow.option(s, "timeout") + LEASE_SECONDS)
+    change = {
+        "status": F.when(F.col("__mine"), "started").otherwise(F.col("status")), "attempts_count": F.col("attempts_count") + F.col("__mine").cast("int"), "started_at": F.when(F.col("__mine"), now).otherwise(F.col("started_at")),
+        "visible_at": F.when(F.col("__mine"), visible_at(now, lease)).otherwise(F.col("visible_at")), "worker": F.when(F.col("__mine"), worker).otherwise(F.col("worker")),
+    }
+    tasks = written(tasks.withColumns(change), "tasks")
+    # One pass over the states gives the outputs of all of a run's completed steps.
+    outputs = snap.states.filter("status = 'completed'").groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("step_slug", F.coalesce("output", F.lit("null"))))).alias("__outputs"))
+    runs = snap.runs.select("run_id", F.col("input").alias("__input")).join(outputs, "run_id", "left")
+    given = F.lit("{}")
     for s in flow.steps:
-        timeout = F.when(F.col("step_slug") == s.slug, flow.option(s, "timeout")).otherwise(timeout)
-    marked = snap.tasks.join(hit.select(*keys).withColumn("__hit", F.lit(True)), keys, "left")
-    mine = F.coalesce("__hit", F.lit(False))
-    tasks = marked.withColumns(
-        {
-            "status": F.when(mine, "started").otherwise(F.col("status")), "attempts_count": F.col("attempts_count") + mine.cast("int"),
-            "visible_at": F.when(mine, visible_at(now, timeout + LEASE_SECONDS)).otherwise(F.col("visible_at")), "worker": F.when(mine, worker).otherwise(F.col("worker")),
-        }
-    ).drop("__hit")
-    inputs = _inputs(snap, snap.states.withColumn("cascading", F.lit(False))).select("run_id", "step_slug", "object", "only_output")
-    roots = F.col("step_slug").isin(*[s.slug for s in flow.steps if not s.depends_on] or [""])
-    maps = F.col("step_slug").isin(*[s.slug for s in flow.steps if s.kind == "map"] or [""])
-    source = F.when(roots, F.col("flow_input")).otherwise(F.col("only_output"))
-    item = F.to_json(F.get(F.try_variant_get(F.parse_json(F.when(maps, source)), "$", "array<variant>"), F.col("task_index")))
-    records = hit.join(inputs, ["run_id", "step_slug"], "left").select(
-        *keys, F.when(maps, item).when(roots, F.col("flow_input")).otherwise(F.coalesce("object", F.lit("{}"))).alias("input"),
-        F.when(roots & ~maps, F.col("flow_input")).alias("flow_input"),
-    )
-    return replace(snap, tasks=tasks), records
+        if s.kind == "map":
+            items = F.col("__input") if not s.depends_on else F.col("__outputs")[s.depends_on[0]]
+            one = F.to_json(F.get(F.try_variant_get(F.try_parse_json(items), "$", "array<variant>"), F.col("task_index")))
+        elif s.depends_on:
+            one = _object([(d, F.col("__outputs")[d], F.coalesce(F.map_contains_key("__outputs", d), F.lit(False))) for d in s.depends_on])
+        else:
+            one = F.col("__input")
+        given = F.when(F.col("step_slug") == s.slug, one).otherwise(given)
+    plain_root = _named(flow, lambda s: s.kind == "single" and not s.depends_on)
+    records = tasks.filter("__mine").select(*KEYS).join(runs, "run_id").select(*KEYS, given.alias("input"), F.when(plain_root, F.col("__input")).alias("flow_input"))
+    return Snapshot(flow, snap.runs, snap.states, tasks.select(*snap.tasks.columns), snap.runs.sparkSession.createDataFrame([], EVENTS)), records
 
 
 def complete_tasks(snap: Snapshot, outputs: DataFrame, now: Column) -> Snapshot:
     """Apply completions (run_id, step_slug, task_index, output): late ones and those of failed runs do nothing.
 
-    A single step that feeds a map must give an array; else step and run fail,
-    whatever the step's mode.
+    A report on a step that is no longer started only takes the message from the
+    queue.  A single step that feeds a map must give an array; else step and run
+    fail, whatever the step's mode.
     """
-    flow, keys = snap.flow, ["run_id", "step_slug", "task_index"]
-    feeds = [s.slug for s in flow.steps if s.kind == "single" and any(c.kind == "map" and s.slug in c.depends_on for c in flow.steps)]
-    live = snap.runs.filter("status = 'started'").select("run_id")
-    open_ = snap.states.filter("status = 'started'").select("run_id", "step_slug")
-    hit = outputs.select(*keys, F.col("output").alias("__o")).withColumn("__hit", F.lit(True)).join(open_, ["run_id", "step_slug"], "left_semi").join(live, "run_id", "left_semi")
-    joined = snap.tasks.join(hit, keys, "left")
-    mine = (F.col("status") == "started") & F.coalesce("__hit", F.lit(False))
-    wrong = mine & F.col("step_slug").isin(*feeds or [""]) & _array_length(F.col("__o")).isNull()
-    tasks = joined.withColumns(
-        {"output": F.when(mine, F.col("__o")).otherwise(F.col("output")), "error": F.when(wrong, "[TYPE_VIOLATION] a map step needs an array").otherwise(F.col("error")), "status": F.when(wrong, "failed").when(mine, "completed").otherwise(F.col("status"))}
-    ).drop("__o", "__hit")
-    maps = F.col("step_slug").isin(*[s.slug for s in flow.steps if s.kind == "map"] or [""])
+    flow = snap.flow
+    feeds = _named(flow, lambda s: s.kind == "single" and any(c.kind == "map" and s.slug in c.depends_on for c in flow.steps))
+    tasks = _reported(snap, outputs.select(*KEYS, F.col("output").alias("__value")).dropDuplicates(KEYS))
+    live = F.col("__hit") & (F.col("__run") != "failed")
+    mine = F.coalesce(live & (F.col("__step") == "started") & (F.col("status") == "started"), F.lit(False))
+    kind = json_kind(F.col("__value"))
+    tasks = tasks.withColumns({"__mine": mine, "__wrong": mine & feeds & (kind != "array")})
+    change = {
+        "status": F.when(F.col("__wrong"), "failed").when(F.col("__mine"), "completed").otherwise(F.col("status")),
+        "output": F.when(F.col("__mine"), F.col("__value")).otherwise(F.col("output")),
+        "error": F.when(F.col("__wrong"), F.concat(F.lit("[TYPE_VIOLATION] a map step needs an array, not "), kind)).otherwise(F.col("error")),
+        "ended_at": F.when(F.col("__mine"), now).otherwise(F.col("ended_at")),
+        "archived_at": F.when(F.coalesce(F.col("__mine") | live & (F.col("__step") != "started"), F.lit(False)) & F.col("archived_at").isNull(), now).otherwise(F.col("archived_at")),
+    }
+    tasks = written(tasks.withColumns(change), "tasks")
+    # Only steps that got a report are looked at; their outputs are gathered in task order.
     gathered = F.transform(F.array_sort(F.collect_list(F.struct("task_index", F.coalesce("output", F.lit("null")).alias("o")))), lambda x: x["o"])
     ends = tasks.groupBy("run_id", "step_slug").agg(
-        F.bool_and(F.col("status") == "completed").alias("__all"), F.bool_or(F.startswith(F.coalesce("error", F.lit("")), F.lit("[TYPE_VIOLATION]"))).alias("__bad"),
+        F.bool_or("__mine").alias("__moved"), F.count_if(F.col("status") != "completed").cast("int").alias("__left"), F.min(F.when(F.col("__wrong"), F.col("error"))).alias("__bad"),
         F.concat(F.lit("["), F.array_join(gathered, ","), F.lit("]")).alias("__array"), F.max("output").alias("__one"),
+    ).filter("__moved")
+    rows = snap.states.join(ends, ["run_id", "step_slug"], "left").withColumn("was", F.col("status"))
+    moved, maps = F.coalesce("__moved", F.lit(False)), _named(flow, lambda s: s.kind == "map")
+    bad = F.col("__bad").isNotNull()
+    done = moved & ~bad & (F.col("__left") == 0)
+    states = rows.withColumns(
+        {
+            "status": F.when(bad, "failed").when(done, "completed").otherwise(F.col("status")), "remaining_tasks": F.when(moved, F.col("__left")).otherwise(F.col("remaining_tasks")),
+            "output": F.when(done, F.when(maps, F.col("__array")).otherwise(F.col("__one"))).otherwise(F.col("output")), "error": F.coalesce("__bad", "error"), "ended_at": F.when(bad | done, now).otherwise(F.col("ended_at")),
+        }
     )
-    rows = snap.states.join(ends, ["run_id", "step_slug"], "left")
-    started = F.col("status") == "started"
-    bad, done = started & F.coalesce("__bad", F.lit(False)), started & F.coalesce("__all", F.lit(False))
-    states = rows.select(
-        "run_id", "step_slug", F.when(bad, "failed").when(done, "completed").otherwise(F.col("status")).alias("status"), "initial_tasks",
-        F.when(done & ~bad, F.when(maps, F.col("__array")).otherwise(F.col("__one"))).otherwise(F.col("output")).alias("output"),
-        F.when(bad, "[TYPE_VIOLATION] a map step needs an array").otherwise(F.col("error")).alias("error"), "skip_reason",
-    )
-    return _settle(replace(snap, tasks=tasks, states=states), now)
+    return _settle(snap, states, tasks.select(*snap.tasks.columns), now)
 
 
 def fail_tasks(snap: Snapshot, failures: DataFrame, now: Column) -> Snapshot:
-    """Apply failures (run_id, step_slug, task_index, error): queued again with backoff, or by the step's mode."""
-    flow, keys = snap.flow, ["run_id", "step_slug", "task_index"]
-    live = snap.runs.filter("status = 'started'").select("run_id")
-    open_ = snap.states.filter("status = 'started'").select("run_id", "step_slug")
-    hit = failures.select(*keys, F.col("error").alias("__e")).withColumn("__hit", F.lit(True)).join(open_, ["run_id", "step_slug"], "left_semi").join(live, "run_id", "left_semi")
-    joined = snap.tasks.join(hit, keys, "left")
-    most, base = F.lit(0), F.lit(0)
-    for s in flow.steps:
-        most = F.when(F.col("step_slug") == s.slug, flow.option(s, "max_attempts")).otherwise(most)
-        base = F.when(F.col("step_slug") == s.slug, flow.option(s, "base_delay")).otherwise(base)
-    mine = (F.col("status") == "started") & F.coalesce("__hit", F.lit(False))
-    again = mine & (F.col("attempts_count") < most)
-    tasks = joined.withColumns(
+    """Apply failures (run_id, step_slug, task_index, error): queued again with backoff, or by the step's mode.
+
+    In a run that has failed, a started task is marked failed and nothing else
+    moves; a report on a step that is no longer started only archives its message.
+    """
+    flow = snap.flow
+    tasks = _reported(snap, failures.select(*KEYS, F.col("error").alias("__value")).dropDuplicates(KEYS))
+    started = F.col("__hit") & (F.col("status") == "started")
+    mine = F.coalesce(started & (F.col("__run") == "started") & (F.col("__step") == "started"), F.lit(False))
+    again = mine & (F.col("attempts_count") < _by_step(flow, lambda s: flow.option(s, "max_attempts")))
+    late = F.coalesce(started & (F.col("__run") == "failed"), F.lit(False))
+    over = F.coalesce(F.col("__hit") & (F.col("__step") != "started"), F.lit(False))
+    tasks = tasks.withColumns({"__mine": mine, "__again": again, "__late": late, "__over": late | over | mine & ~again})
+    delay = retry_delay(_by_step(flow, lambda s: flow.option(s, "base_delay")), F.col("attempts_count"))
+    ended = F.col("__mine") & ~F.col("__again") | F.col("__late")
+    change = {
+        "status": F.when(F.col("__again"), "queued").when(ended, "failed").otherwise(F.col("status")), "error": F.when(F.col("__mine") | F.col("__late"), F.col("__value")).otherwise(F.col("error")),
+        "visible_at": F.when(F.col("__again"), visible_at(now, delay)).otherwise(F.col("visible_at")), "started_at": F.when(~F.col("__again"), F.col("started_at")),
+        "ended_at": F.when(ended, now).otherwise(F.col("ended_at")), "archived_at": F.when(F.col("__over") & F.col("archived_at").isNull(), now).otherwise(F.col("archived_at")),
+    }
+    tasks = written(tasks.withColumns(change), "tasks")
+    spent = tasks.filter("__mine and not __again").groupBy("run_id", "step_slug").agg(F.min_by("error", "task_index").alias("__error")).withColumn("__spent", F.lit(True))
+    rows = snap.states.join(spent, ["run_id", "step_slug"], "left").withColumn("was", F.col("status"))
+    hit, hard = F.coalesce("__spent", F.lit(False)), _named(flow, lambda s: s.when_exhausted == "fail")
+    states = rows.withColumns(
         {
-            "visible_at": F.when(again, visible_at(now, retry_delay(base, F.col("attempts_count")))).otherwise(F.col("visible_at")),
-            "error": F.when(mine, F.col("__e")).otherwise(F.col("error")), "status": F.when(again, "queued").when(mine, "failed").otherwise(F.col("status")),
+            "status": F.when(hit, F.when(hard, "failed").otherwise("skipped")).otherwise(F.col("status")), "error": F.when(hit, F.col("__error")).otherwise(F.col("error")), "ended_at": F.when(hit, now).otherwise(F.col("ended_at")),
+            "skip_reason": F.when(hit & ~hard, "handler_failed").otherwise(F.col("skip_reason")), "remaining_tasks": F.when(~(hit & ~hard), F.col("remaining_tasks")),
         }
-    ).drop("__e", "__hit")
-    ends = tasks.filter("status = 'failed'").groupBy("run_id", "step_slug").agg(F.min_by("error", "task_index").alias("__error"))
-    rows = snap.states.join(ends.withColumn("__x", F.lit(True)), ["run_id", "step_slug"], "left")
-    hit_step = (F.col("status") == "started") & F.coalesce("__x", F.lit(False))
-    hard = F.col("step_slug").isin(*[s.slug for s in flow.steps if s.when_exhausted == "fail"] or [""])
-    states = rows.select(
-        "run_id", "step_slug", F.when(hit_step, F.when(hard, "failed").otherwise("skipped")).otherwise(F.col("status")).alias("status"), "initial_tasks", "output",
-        F.when(hit_step, F.col("__error")).otherwise(F.col("error")).alias("error"), F.when(hit_step & ~hard, "handler_failed").otherwise(F.col("skip_reason")).alias("skip_reason"),
     )
-    return _settle(replace(snap, tasks=tasks, states=states), now)
-
-
-def _settle(snap: Snapshot, now: Column) -> Snapshot:
-    """Runs with a failed step fail; all others advance."""
-    failed = snap.states.filter("status = 'failed'").select("run_id").distinct().withColumn("__f", F.lit(True))
-    runs = snap.runs.join(failed, "run_id", "left").withColumn("status", F.when((F.col("status") == "started") & F.col("__f"), "failed").otherwise(F.col("status"))).drop("__f")
-    return advance(replace(snap, runs=runs), now)
+    return _settle(snap, states, tasks.select(*snap.tasks.columns), now)
 
 
 def prune(runs: DataFrame, children: list[DataFrame], before: Column) -> tuple[DataFrame, list[DataFrame]]:
     """Runs ended before a moment go, and so do the rows of their children; open runs stay."""
     old = runs.filter(F.col("status").isin("completed", "failed") & (F.col("ended_at") < before)).select("run_id")
     return runs.join(old, "run_id", "left_anti"), [c.join(old, "run_id", "left_anti") for c in children]
+
+
+def prune_snapshot(snap: Snapshot, before: Column) -> Snapshot:
+    """A snapshot without the runs that ended before a moment, their states and their tasks."""
+    runs, (states, tasks) = prune(snap.runs, [snap.states, snap.tasks], before)
+    return Snapshot(snap.flow, runs, states, tasks, snap.events)

@@ -1,8 +1,11 @@
-"""Spark session factory with the settings this library assumes."""
+"""Spark session factory with the settings this library assumes, and the shared folder of intermediate tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that results depend on; the rest is left to the cluster.
 REQUIRED = {
@@ -19,3 +22,26 @@ def get_session(app_name: str = "loomspark", master: str | None = None, **conf:
     for key, value in {**REQUIRED, **{k.replace("_", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Only a local session, as in tests, may go without the setting; it then gets
+    a temporary folder of its own.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("loomspark.shared.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    found = tempfile.mkdtemp(prefix="loomspark-")
+    spark.conf.set("loomspark.shared.dir", found)
+    return found
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its plan starts anew, and a lost executor costs a re-read."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
