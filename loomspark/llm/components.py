@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import materialise
+from loomspark.llm.common import discard, materialise
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -34,11 +34,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         ends = step.select(F.col("u").alias("n"), F.col("to").alias("m"))
         moved = live.join(ends.withColumnsRenamed({"n": "u", "m": "mu"}), "u").join(ends.withColumnsRenamed({"n": "v", "m": "mv"}), "v")
         moved = moved.filter("mu <> mv").select(F.least("mu", "mv").alias("u"), F.greatest("mu", "mv").alias("v"))
-        live = materialise(moved.distinct(), "edges")
+        before, live = live, materialise(moved.distinct(), "edges")
+        discard(before)
     if not steps:
         return live.select(F.col("u").alias("node"), F.col("v").alias("component"))
     placed = steps[0].select(F.col("u").alias("node"), F.col("to").alias("at"))
     for step in steps[1:]:
         placed = placed.join(step.withColumnRenamed("u", "at"), "at", "left").select("node", F.coalesce("to", "at").alias("at"))
     smallest = placed.groupBy("at").agg(F.min("node").alias("component"))
-    return materialise(placed.join(smallest, "at").select("node", "component"), "components")
+    found = materialise(placed.join(smallest, "at").select("node", "component"), "components")
+    discard(live, *steps)
+    return found

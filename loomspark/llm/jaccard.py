@@ -17,6 +17,10 @@ merged, and their members are first compared with that class alone.  Only cells
 that this leaves in more than one component are joined in full, and there only the
 sets outside the cell's largest component are probes: a large group of near copies
 costs its members, not its pairs, and no link between components is lost.
+
+Before a cell's sets are sent to it, their parity sketches are: two sketches never
+differ in more bits than their sets do in elements, so a set without a possible
+partner in another component leaves the cell, and its n-grams stay where they are.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import fresh, materialise
+from loomspark.llm.common import discard, fresh, materialise
 from loomspark.llm.components import connected_components
 
 #: Rows of one Arrow batch that a task gives back, and texts a task remembers as seen.
@@ -270,45 +274,77 @@ def _emit(n: int, percent: int, ranks: np.ndarray):
     return run
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the elements that fall on each bit, about two bits an element, a power of two in all."""
+    bits = max(512, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((_mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fold(sketches: np.ndarray) -> np.ndarray:
+    """Sketches of half the length of the same sets."""
+    half = sketches.shape[-1] // 2
+    return sketches[..., :half] ^ sketches[..., half:]
+
+
+def possible(sizes: list[int], sketches: list[np.ndarray], parts: list[int], probes: list[tuple[int, np.ndarray, int]], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which members, and which probes (size, sketch, part), may be similar to one of another part on the other side."""
+    size, part, length = np.array(sizes), np.array(parts), np.array([len(x) for x in sketches])
+    member, walker = np.zeros(len(sizes), bool), np.zeros(len(probes), bool)
+    # Similar sets have sketches of the same length or of one twice as long.
+    by = {words: (np.flatnonzero(length == words), np.array([x for x in sketches if len(x) == words])) for words in set(length.tolist())}
+    folded = {words: fold(bits) for words, (_, bits) in by.items()}
+    for k, (n, bits, own) in enumerate(probes):
+        for words, mine in ((len(bits), bits), (2 * len(bits), bits), (len(bits) // 2, fold(bits))):
+            if words not in by:
+                continue
+            at, theirs = by[words]
+            fits = (part[at] != own) & (100 * size[at] <= 10000 * n // percent) & (100 * size[at] >= percent * n)
+            if not fits.any():
+                continue
+            rows = (theirs if words <= len(bits) else folded[words])[fits]
+            near = np.bitwise_count(rows ^ mine).sum(axis=1, dtype=np.int64) * (100 + percent) <= (size[at][fits] + n) * (100 - percent)
+            member[at[fits][near]] = True
+            walker[k] |= near.any()
+    return member, walker
+
+
 def _sets(n: int, ranks: np.ndarray):
-    """(cls, size, codes) of texts, named anew from the text itself."""
+    """(cls, size, sketch, codes) of texts, named anew from the text itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), n) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([codes_of(s, ranks).tobytes() for s in sets], pa.binary())],
-                names=["cls", "size", "codes"],
-            )
+            rows: list[tuple] = []
+            held = 0
+            for text in batch.column(0):
+                s = shingle_set(text.as_py(), n)
+                rows.append((class_of(s), len(s), sketch(s).tobytes(), codes_of(s, ranks).tobytes()))
+                held += len(s)
+                if held >= ELEMENTS:
+                    yield _set_rows(rows)
+                    rows, held = [], 0
+            yield _set_rows(rows)
 
     return run
 
 
-def _join_cells(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links (a, b) of sorted rows (cell, i, j, probe, cls, part, codes): a trie for each cell, one at a time in memory."""
+def _set_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["cls", "size", "sketch", "codes"])
 
-    def solve(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
-        names, parts, sets, probes = [], [], [], []
-        for batch in rows:
-            cls, part, probe = (batch.column(c).to_pylist() for c in ("cls", "part", "probe"))
-            for k, codes in enumerate(batch.column("codes")):
-                found = np.frombuffer(codes.as_buffer(), np.uint64)
-                if probe[k]:
-                    probes.append((cls[k], part[k], found))
-                else:
-                    names.append(cls[k])
-                    parts.append(part[k])
-                    sets.append(found)
-        return join_cell(names, parts, sets, probes, percent) if sets and probes else []
+
+def _by_cell(solve: Callable[[list[pa.RecordBatch]], list[tuple]], names: tuple[str, ...]):
+    """Batches of what ``solve`` finds in each cell of sorted rows (cell, i, j, ...), one cell at a time in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        at, links = None, []
+        at, found = None, []
 
         def give() -> pa.RecordBatch:
-            a, b = zip(*links, strict=True) if links else ((), ())
-            links.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            columns = list(zip(*found, strict=True)) if found else [()] * len(names)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(names))
 
         for batch in batches:
             keys = np.column_stack([batch.column(c).to_numpy() for c in ("cell", "i", "j")])
@@ -316,23 +352,70 @@ def _join_cells(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             for low, high in zip(starts, starts[1:], strict=False):
                 key = tuple(keys[low])
                 if held and key != at:
-                    links += solve(held)
+                    found += solve(held)
                     held = []
                 at = key
                 held.append(batch.slice(low, high - low))
-            if len(links) >= 10_000:
+            if len(found) >= 10_000:
                 yield give()
-        links += solve(held)
+        if held:
+            found += solve(held)
         yield give()
 
     return run
 
 
-def _cells(rows: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """Links of the cells' ``rows`` (cell, i, j, probe, cls, part), whose sets are joined to them."""
-    rows = rows.join(sets.select("cls", "codes"), "cls").select("cell", "i", "j", "probe", "cls", "part", "codes")
-    dealt = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return materialise(dealt.mapInArrow(_join_cells(percent), "a bigint, b bigint"), name)
+def _split(rows: list[pa.RecordBatch], columns: tuple[str, ...]) -> tuple[list[tuple], list[tuple]]:
+    """(members, probes) of a cell, each a list of the values of ``columns``; binary ones as arrays of 64-bit words."""
+    sides: tuple[list, list] = ([], [])
+    for batch in rows:
+        values = []
+        for c in columns:
+            column = batch.column(c)
+            values.append([np.frombuffer(x.as_buffer(), np.uint64) for x in column] if column.type == pa.binary() else column.to_pylist())
+        for probe, row in zip(batch.column("probe").to_pylist(), zip(*values, strict=True), strict=True):
+            sides[probe].append(row)
+    return sides
+
+
+def _possible_in_cell(percent: int):
+    def solve(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        members, probes = _split(rows, ("cell", "cls", "part", "size", "sketch"))
+        if not members or not probes:
+            return []
+        cells, names, parts, sizes, sketches = zip(*members, strict=True)
+        member, walker = possible(list(sizes), list(sketches), list(parts), [(size, bits, part) for _, _, part, size, bits in probes], percent)
+        return [(cells[0], n) for n in {names[k] for k in np.flatnonzero(member)} | {probes[k][1] for k in np.flatnonzero(walker)}]
+
+    return _by_cell(solve, ("cell", "cls"))
+
+
+def _links_in_cell(percent: int):
+    def solve(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        members, probes = _split(rows, ("cls", "part", "codes"))
+        if not members or not probes:
+            return []
+        names, parts, sets = zip(*members, strict=True)
+        return join_cell(list(names), list(parts), list(sets), probes, percent)
+
+    return _by_cell(solve, ("a", "b"))
+
+
+def _at_cells(rows: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (cell, i, j, probe, cls, part) with ``columns`` of their sets, each cell's rows together."""
+    joined = rows.join(sets.select("cls", *columns), "cls").select("cell", "i", "j", "probe", "cls", "part", *columns)
+    return joined.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+
+
+def _possible(rows: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """(cell, cls) of the rows that may have a link to another component of their cell."""
+    found = _at_cells(rows, sets, ["size", "sketch"]).mapInArrow(_possible_in_cell(percent), "cell bigint, cls bigint")
+    return materialise(found.distinct(), name)
+
+
+def _links(rows: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """Links (a, b) that connect the components of the rows' cells, by a trie for each."""
+    return materialise(_at_cells(rows, sets, ["codes"]).mapInArrow(_links_in_cell(percent), "a bigint, b bigint"), name)
 
 
 def _blocks(count: Column, elements: Column) -> Column:
@@ -348,35 +431,33 @@ def _every(blocks: str) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
 
 
-def _star_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between a cell's least class and its other members, which are dealt to tries of bounded size."""
+def _star_rows(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """The least class of each cell as the probe of tries of bounded size, which the other members are dealt to."""
     sized = stars.join(sets.select("cls", "size"), "cls")
     trees = sized.groupBy("cell").agg(_blocks(F.count(F.lit(1)), F.sum("size")).alias("trees"))
     members = sized.join(trees, "cell").select("cell", _dealt("tree", "trees").alias("i"), F.lit(False).alias("probe"), "cls")
     centers = trees.select("cell", _every("trees").alias("i"), F.lit(True).alias("probe"), F.col("cell").alias("cls"))
-    rows = members.unionByName(centers).withColumns({"j": F.lit(0).cast("long"), "part": F.col("cls")})
-    return _cells(rows, sets, percent, "star-links")
+    return members.unionByName(centers).withColumns({"j": F.lit(0).cast("long"), "part": F.col("cls")})
 
 
-def _open_links(stars: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across the components that cells still have.
+def _open_rows(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of cells whose ``members`` (cell, cls) still lie in several components: all members, and as probes those outside the largest.
 
     Every pair of different components has an end outside the cell's largest one,
-    so only those sets walk, each through all tries of the cell.
+    so only those walk, each through all tries of the cell.
     """
     known = sets.select("cls", "size").join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "size", F.coalesce("component", "cls").alias("part"))
-    centers = stars.select("cell").distinct().withColumn("cls", F.col("cell"))
-    members = stars.unionByName(centers).join(known, "cls")
+    members = members.join(known, "cls")
     groups = members.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
     whole = groups.groupBy("cell").agg(F.max(F.struct("n", "elements", "part")).alias("main"), F.sum("n").alias("n"), F.sum("elements").alias("elements"))
     whole = whole.filter(F.col("n") > F.col("main.n")).select(
         "cell", F.col("main.part").alias("main"), _blocks(F.col("n"), F.col("elements")).alias("tries"), _blocks(F.col("n") - F.col("main.n"), F.col("elements") - F.col("main.elements")).alias("turns")
     )
-    placed = materialise(members.join(whole, "cell"), "open-cells")
+    placed = members.join(whole, "cell")
     stored = placed.withColumns({"probe": F.lit(False), "i": _dealt("trie", "tries")}).withColumn("j", _every("turns"))
     probes = placed.filter("part <> main").withColumns({"probe": F.lit(True), "j": _dealt("turn", "turns")}).withColumn("i", _every("tries"))
     columns = ["cell", "i", "j", "probe", "cls", "part"]
-    return _cells(stored.select(*columns).unionByName(probes.select(*columns)), sets, percent, "open-links")
+    return stored.select(*columns).unionByName(probes.select(*columns))
 
 
 def _row(id_: Column, text: Column) -> Column:
@@ -409,11 +490,14 @@ def _linked(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     stars = materialise(keys.join(least, "key").filter("cls <> cell").select("cell", "cls").distinct(), "stars")
     wanted = stars.select("cls").union(stars.select("cell")).distinct().join(classes, "cls").select("first.row")
     texts = documents.join(wanted, "row").dropDuplicates(["row"]).select("text")
-    sets = materialise(texts.mapInArrow(_sets(n, ranks), "cls bigint, size bigint, codes binary"), "sets")
+    sets = materialise(texts.mapInArrow(_sets(n, ranks), "cls bigint, size bigint, sketch binary, codes binary"), "sets")
 
-    links = _star_links(stars, sets, percent)
+    near = _possible(_star_rows(stars, sets), sets, percent, "near-stars")
+    links = _links(_star_rows(near.filter("cls <> cell"), sets), sets, percent, "star-links")
     parts = connected_components(links)
-    more = _open_links(stars, parts, sets, percent)
+    members = stars.unionByName(stars.select("cell", F.col("cell").alias("cls")).distinct())
+    open_ = _possible(_open_rows(members, parts, sets), sets, percent, "near-open")
+    more = _links(_open_rows(open_, parts, sets), sets, percent, "open-links")
     if not more.isEmpty():
         # The links found last run between the components of the first, which are far fewer than the classes.
         name = parts.withColumnsRenamed({"node": "x", "component": "px"})
@@ -423,6 +507,8 @@ def _linked(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
         named = named.join(merged, "node", "left").select("cls", F.coalesce("component", "node").alias("part"), "first")
     else:
         named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("part"), "first")
+    named = materialise(named, "named")
+    discard(classes, keys, stars, sets, near, links, parts, open_, more)
     return described.select("id", "n", "cls"), named
 
 

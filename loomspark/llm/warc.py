@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import shared_dir
+from loomspark.session import shared_folder
 
 #: Payloads below this many bytes are never revisits.
 SMALLEST_SHARED = 100
@@ -121,7 +121,7 @@ def archive_round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "u
     record bytes that were read; a payload that fails its check is an error.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(df, path, id_col, url_col, payload_col)
     kind = df.schema[id_col].dataType
     records = read_archive(spark, path)
