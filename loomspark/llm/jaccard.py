@@ -41,6 +41,8 @@ ROWS, SEEN = 100_000, 500_000
 #: Bits of an n-gram's slot; the counts of all slots are the only statistic that the driver holds.
 SLOT_BITS = 16
 SLOTS = 1 << SLOT_BITS
+#: Marks of wanted rows that a task gets by broadcast.
+MARKS = 1 << 20
 #: Most members of one trie, most probes that walk it in one task, and their n-grams in all.
 TREE, ELEMENTS = 4096, 2_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -215,28 +217,30 @@ def join_cell(names: list[int], parts: list[int], sets: list[np.ndarray], probes
 
 
 def _describe(n: int):
-    """(id, n, cls, row) of every document, and (slot, seen): how many of the task's sets have an n-gram there."""
+    """(id, n, cls, row, sketch) of every document, and (slot, seen): how many of the task's sets have an n-gram there."""
+    names = ["id", "n", "cls", "row", "sketch", "slot", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, kind = np.zeros(SLOTS, np.int64), set(), None
         for batch in batches:
             kind = batch.column(0).type
-            size, cls = [], []
+            size, cls, bits = [], [], []
             for text in batch.column(1):
                 shingles = shingle_set(text.as_py(), n)
                 size.append(len(shingles))
                 cls.append(class_of(shingles))
+                bits.append(sketch(shingles).tobytes() if len(shingles) else None)
                 if cls[-1] is not None and cls[-1] not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(cls[-1])
                     counts += np.bincount(slots_of(shingles), minlength=SLOTS)
             none = pa.nulls(len(size), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), batch.column(2), none, none], names=["id", "n", "cls", "row", "slot", "seen"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), batch.column(2), pa.array(bits, pa.binary()), none, none], names=names)
         at = np.flatnonzero(counts)
         if len(at):
             none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), none, none, none, pa.array(at), pa.array(counts[at])], names=["id", "n", "cls", "row", "slot", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), none, none, none, pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(counts[at])], names=names)
 
     return run
 
@@ -309,31 +313,25 @@ def possible(sizes: list[int], sketches: list[np.ndarray], parts: list[int], pro
     return member, walker
 
 
-def _sets(n: int, ranks: np.ndarray):
-    """(cls, size, sketch, codes) of texts, named anew from the text itself."""
+def _codes(n: int, ranks: np.ndarray):
+    """(cls, codes) of texts, named anew from the text itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            held = 0
+            names, codes, held = [], [], 0
             for text in batch.column(0):
-                s = shingle_set(text.as_py(), n)
-                rows.append((class_of(s), len(s), sketch(s).tobytes(), codes_of(s, ranks).tobytes()))
-                held += len(s)
+                shingles = shingle_set(text.as_py(), n)
+                names.append(class_of(shingles))
+                codes.append(codes_of(shingles, ranks).tobytes())
+                held += len(shingles)
                 if held >= ELEMENTS:
-                    yield _set_rows(rows)
-                    rows, held = [], 0
-            yield _set_rows(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(codes, pa.binary())], names=["cls", "codes"])
+                    names, codes, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(codes, pa.binary())], names=["cls", "codes"])
 
     return run
 
 
-def _set_rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["cls", "size", "sketch", "codes"])
-
-
 def _by_cell(solve: Callable[[list[pa.RecordBatch]], list[tuple]], names: tuple[str, ...]):
     """Batches of what ``solve`` finds in each cell of sorted rows (cell, i, j, ...), one cell at a time in memory."""
 
@@ -407,9 +405,9 @@ def _at_cells(rows: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame
     return joined.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
 
 
-def _possible(rows: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+def _possible(rows: DataFrame, classes: DataFrame, percent: int, name: str) -> DataFrame:
     """(cell, cls) of the rows that may have a link to another component of their cell."""
-    found = _at_cells(rows, sets, ["size", "sketch"]).mapInArrow(_possible_in_cell(percent), "cell bigint, cls bigint")
+    found = _at_cells(rows, classes, ["size", "sketch"]).mapInArrow(_possible_in_cell(percent), "cell bigint, cls bigint")
     return materialise(found.distinct(), name)
 
 
@@ -431,22 +429,22 @@ def _every(blocks: str) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
 
 
-def _star_rows(stars: DataFrame, sets: DataFrame) -> DataFrame:
+def _star_rows(stars: DataFrame, classes: DataFrame) -> DataFrame:
     """The least class of each cell as the probe of tries of bounded size, which the other members are dealt to."""
-    sized = stars.join(sets.select("cls", "size"), "cls")
+    sized = stars.join(classes.select("cls", "size"), "cls")
     trees = sized.groupBy("cell").agg(_blocks(F.count(F.lit(1)), F.sum("size")).alias("trees"))
     members = sized.join(trees, "cell").select("cell", _dealt("tree", "trees").alias("i"), F.lit(False).alias("probe"), "cls")
     centers = trees.select("cell", _every("trees").alias("i"), F.lit(True).alias("probe"), F.col("cell").alias("cls"))
     return members.unionByName(centers).withColumns({"j": F.lit(0).cast("long"), "part": F.col("cls")})
 
 
-def _open_rows(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+def _open_rows(members: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
     """Of cells whose ``members`` (cell, cls) still lie in several components: all members, and as probes those outside the largest.
 
     Every pair of different components has an end outside the cell's largest one,
     so only those walk, each through all tries of the cell.
     """
-    known = sets.select("cls", "size").join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "size", F.coalesce("component", "cls").alias("part"))
+    known = classes.select("cls", "size").join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "size", F.coalesce("component", "cls").alias("part"))
     members = members.join(known, "cls")
     groups = members.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
     whole = groups.groupBy("cell").agg(F.max(F.struct("n", "elements", "part")).alias("main"), F.sum("n").alias("n"), F.sum("elements").alias("elements"))
@@ -460,6 +458,20 @@ def _open_rows(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFra
     return stored.select(*columns).unionByName(probes.select(*columns))
 
 
+def _sets(documents: DataFrame, classes: DataFrame, wanted: DataFrame, n: int, ranks: np.ndarray, name: str) -> DataFrame:
+    """(cls, codes) of the classes in ``wanted`` (cls), each from the text of its first row.
+
+    A broadcast of the wanted rows' marks, MARKS of them at most, keeps other texts out of the shuffle.
+    """
+    rows = materialise(wanted.distinct().join(classes, "cls").select("first.row"), name + "-rows")
+    mark = F.pmod(F.col("row"), F.lit(MARKS)).cast("int").alias("mark")
+    texts = documents.select("row", "text", mark).join(F.broadcast(rows.select(mark).distinct()), "mark", "left_semi")
+    texts = texts.join(rows, "row", "left_semi").dropDuplicates(["row"]).select("text")
+    found = materialise(texts.mapInArrow(_codes(n, ranks), "cls bigint, codes binary"), name)
+    discard(rows)
+    return found
+
+
 def _row(id_: Column, text: Column) -> Column:
     """A 64-bit name that rows share when both their ids and their texts are equal; ids may repeat or be null."""
     return F.xxhash64(id_, text)
@@ -474,30 +486,33 @@ def _linked(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
         raise ValueError("percent must be over 50 and at most 100")
     documents = documents.withColumn("row", _row(F.col("id"), F.col("text")))
     kind = documents.schema["id"].dataType.simpleString()
-    described = documents.select("id", "text", "row").mapInArrow(_describe(n), f"id {kind}, n bigint, cls bigint, row bigint, slot bigint, seen bigint")
+    described = documents.select("id", "text", "row").mapInArrow(_describe(n), f"id {kind}, n bigint, cls bigint, row bigint, sketch binary, slot bigint, seen bigint")
     described = materialise(described, "described")
     counts = np.zeros(SLOTS, np.int64)
     for slot, seen in described.filter("slot is not null").groupBy("slot").agg(F.sum("seen")).collect():  # at most SLOTS rows
         counts[slot] = seen
     ranks = rank_slots(counts)
-    described = described.filter("slot is null").select("id", "n", "cls", "row")
+    documents_of = described.filter("slot is null")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    classes = materialise(described.filter("cls is not null").groupBy("cls").agg(first.alias("first")), "classes")
+    classes = documents_of.filter("cls is not null").groupBy("cls").agg(first.alias("first"), F.first("n").alias("size"), F.first("sketch").alias("sketch"))
+    classes = materialise(classes, "classes")
 
-    keys = materialise(documents.select("text").mapInArrow(_emit(n, percent, ranks), "key bigint, cls bigint"), "prefixes")
+    keys = documents.select("text").mapInArrow(_emit(n, percent, ranks), "key bigint, cls bigint")
+    keys = materialise(keys, "prefixes")
     # A least and a greatest class a code combine before the shuffle; most codes have one class and end here.
     least = keys.groupBy("key").agg(F.min("cls").alias("cell"), F.max("cls").alias("high")).filter("cell < high").select("key", "cell")
     stars = materialise(keys.join(least, "key").filter("cls <> cell").select("cell", "cls").distinct(), "stars")
-    wanted = stars.select("cls").union(stars.select("cell")).distinct().join(classes, "cls").select("first.row")
-    texts = documents.join(wanted, "row").dropDuplicates(["row"]).select("text")
-    sets = materialise(texts.mapInArrow(_sets(n, ranks), "cls bigint, size bigint, sketch binary, codes binary"), "sets")
+    discard(keys)
 
-    near = _possible(_star_rows(stars, sets), sets, percent, "near-stars")
-    links = _links(_star_rows(near.filter("cls <> cell"), sets), sets, percent, "star-links")
+    near = _possible(_star_rows(stars, classes), classes, percent, "near-stars")
+    sets = _sets(documents, classes, near.select("cls"), n, ranks, "star-sets")
+    links = _links(_star_rows(near.filter("cls <> cell"), classes), sets, percent, "star-links")
+    discard(sets)
     parts = connected_components(links)
     members = stars.unionByName(stars.select("cell", F.col("cell").alias("cls")).distinct())
-    open_ = _possible(_open_rows(members, parts, sets), sets, percent, "near-open")
-    more = _links(_open_rows(open_, parts, sets), sets, percent, "open-links")
+    open_ = _possible(_open_rows(members, parts, classes), classes, percent, "near-open")
+    sets = _sets(documents, classes, open_.select("cls"), n, ranks, "open-sets")
+    more = _links(_open_rows(open_, parts, classes), sets, percent, "open-links")
     if not more.isEmpty():
         # The links found last run between the components of the first, which are far fewer than the classes.
         name = parts.withColumnsRenamed({"node": "x", "component": "px"})
@@ -508,8 +523,8 @@ def _linked(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     else:
         named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("part"), "first")
     named = materialise(named, "named")
-    discard(classes, keys, stars, sets, near, links, parts, open_, more)
-    return described.select("id", "n", "cls"), named
+    discard(classes, stars, sets, near, links, parts, open_, more)
+    return documents_of.select("id", "n", "cls"), named
 
 
 def link_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
