@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before, live = live, materialise(moved.distinct(), "edges")
         discard(before)
     if not steps:
-        return live.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return materialise(live.select(F.col("u").alias("node"), F.col("v").alias("component")), "components")
     placed = steps[0].select(F.col("u").alias("node"), F.col("to").alias("at"))
     for step in steps[1:]:
         placed = placed.join(step.withColumnRenamed("u", "at"), "at", "left").select("node", F.coalesce("to", "at").alias("at"))
