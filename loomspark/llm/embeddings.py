@@ -3,9 +3,10 @@
 Vectors of a label are compared as points of the unit sphere, where a cosine of
 c is a distance of sqrt(2 - 2c).  Pivots cut a label into cells; a point also
 goes to every cell whose border is nearer than that distance, a bound that the
-triangle inequality and the pivots' own distances give.  Cells then join on their
-own, in blocks of bounded size, and each block reports sums and a spanning
-forest of its links, never the links themselves.
+triangle inequality and the pivots' own distances give.  Inside a cell points lie
+in rings around the pivot, as wide as that distance, so that a ring meets only
+its neighbours.  Rings then join on their own, in blocks of bounded size, and each
+block reports sums and a spanning forest of its links, never the links themselves.
 """
 
 from __future__ import annotations
@@ -15,26 +16,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import materialise
+from loomspark.llm.common import discard, materialise
 from loomspark.llm.components import connected_components
 
-#: Pivots of a label: one for so many of its vectors, this many at most, drawn by hash of the id.
-PER_PIVOT, MAX_PIVOTS = 2000, 64
-#: Vectors of a cell that one task compares with as many others.
-BLOCK = 1024
+#: Pivots of a label: one for so many of its vectors.  Every point is measured against every pivot
+#: of its label, so there are this many at most; more vectors make larger cells, which blocks cut.
+PER_PIVOT, MAX_PIVOTS = 8192, 64
+#: Vectors of a ring that one task compares with as many others, and how many at a time.
+BLOCK, TILE = 8192, 1024
 #: Slack on geometric bounds, against rounding; the cosine itself decides about a link.
 SLACK = 1e-6
 
 
-def usable(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """id, label, vector in double precision; without null, zero or non-finite vectors and null labels."""
-    v = F.col("v")
-    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.filter(F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
+def usable(id_: Column, vector: Column, label: Column) -> Column:
+    """Whether a vector can have links: id and label there, no null or non-finite component, not all zero."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    found = id_.isNotNull() & label.isNotNull() & vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0)
+    return F.coalesce(found, F.lit(False))
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -45,7 +46,7 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 
 def _assign(reach: float):
-    """Cells of each point: its nearest pivot's, and each whose border is within reach."""
+    """Cells of each point: its nearest pivot's, and each whose border is within reach; with the ring there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -64,22 +65,24 @@ def _assign(reach: float):
                 within = border <= reach + SLACK
                 within[np.arange(len(points)), home] = True
                 who, cell = np.nonzero(within)
-                part = group.iloc[who][["id", "label", "dim", "weight", "v"]].copy()
+                part = group.iloc[who][["cls", "label", "dim", "weight", "v"]].copy()
                 part["cell"], part["home"] = cell.astype(np.int32), cell == home[who]
+                # A ring is wider than the reach by the slack: points within reach lie in the same or in adjacent rings.
+                part["ring"] = np.floor(np.sqrt(d2[who, cell]) / (reach + SLACK)).astype(np.int32)
                 out.append(part)
             yield pd.concat(out)
 
     return run
 
 
-def _components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Smallest reachable index of 0..n-1 under the given links."""
-    at = np.arange(n)
+def _components(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Smallest reachable index of each, given those found before (``at``) and more links."""
     while True:
         low = np.minimum(at[left], at[right])
         new = at.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
+        # The links' ends and the components that they had so far all move.
+        for ends in (left, right, at[left], at[right]):
+            np.minimum.at(new, ends, low)
         new = new[new]
         if (new == at).all():
             return at
@@ -90,23 +93,26 @@ def _join_block(least: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Sums of links for home points of side 0, and forest edges, of one pair of blocks."""
         a, b = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "to": pd.Series(dtype="int64")})
+        empty = pd.DataFrame({"cls": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "to": pd.Series(dtype="int64")})
         if not len(a) or not len(b):
             return empty
-        ida, idb = a["id"].to_numpy(), b["id"].to_numpy()
-        near = (_unit(a["v"]) @ _unit(b["v"]).T >= least) & (ida[:, None] != idb[None, :])
-        counts = near @ b["weight"].to_numpy()
-        x, y = np.nonzero(near)
-        if not len(x):
-            return empty
+        ida, idb = a["cls"].to_numpy(), b["cls"].to_numpy()
         ids, place = np.unique(np.concatenate([ida, idb]), return_inverse=True)
-        low = ids[_components(len(ids), place[: len(ida)][x], place[len(ida) :][y])]
+        left, right, weight = _unit(a["v"]), _unit(b["v"]), b["weight"].to_numpy()
+        counts, at = np.zeros(len(a), np.int64), np.arange(len(ids))
+        for i in range(0, len(a), TILE):
+            for j in range(0, len(b), TILE):
+                near = (left[i : i + TILE] @ right[j : j + TILE].T >= least) & (ida[i : i + TILE, None] != idb[None, j : j + TILE])
+                x, y = np.nonzero(near)
+                if len(x):
+                    counts[i : i + TILE] += near @ weight[j : j + TILE]
+                    at = _components(at, place[i + x], place[len(a) + j + y])
+        low, hit = ids[at], counts > 0
         other = low != ids
-        hit = counts > 0
         return pd.concat(
             [
-                pd.DataFrame({"id": ida[hit], "links": counts[hit].astype(np.int64), "to": ida[hit]}),
-                pd.DataFrame({"id": ids[other], "links": np.zeros(int(other.sum()), np.int64), "to": low[other]}),
+                pd.DataFrame({"cls": ida[hit], "links": counts[hit], "to": ida[hit]}),
+                pd.DataFrame({"cls": ids[other], "links": np.zeros(int(other.sum()), np.int64), "to": low[other]}),
             ]
         )
 
@@ -118,48 +124,57 @@ def link_embeddings(
 ) -> DataFrame:
     """One row per vector: id, ``n_links``, ``component_id`` and ``kept`` (id equals component).
 
-    Only vectors with equal labels are compared.  Null, zero and non-finite
-    vectors, vectors without label and those of another length link with
-    nothing: they are their own component and kept.  Equal vectors of a label
-    are one class that is compared once; its members link with each other.  A
-    repeated id is one vector per row; rows that share an id share their
-    component, and each counts as a link of the others.  Rows with a null id
-    link with nothing and have a null component.
+    Only vectors with equal labels and of equal length are compared.  Null, zero
+    and non-finite vectors, vectors without label and those without id link with
+    nothing: they are their own component and kept (without id, the component
+    is null).  Every row is a vector of its own, also where ids repeat; its
+    component is the smallest id that it reaches by links.  Equal vectors of a
+    label are one class that is compared once; its members link with each other.
+    Ids may be of any type with an order.  An empty table gives no rows, and no
+    other column is read.
     """
-    every = df.select(F.col(id_col).alias("id"))
-    rows = usable(df, id_col, vector_col, label_col).filter("id is not null").withColumn("key", F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + 0.0).cast("string"))), 256))
-    rows = rows.withColumn("dim", F.size("v"))
-    # A class of equal vectors: the smallest id stands for it.
-    classes = rows.groupBy("label", "key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    members = materialise(rows.select("id", "label", "key").join(classes, ["label", "key"]).select("id", "rep", "weight"), "members")
-    reps = classes.join(rows.select("label", "key", "v", "dim", "id"), ["label", "key"]).filter("id = rep").dropDuplicates(["label", "key"]).select("id", "label", "dim", "weight", "v")
-    reps = materialise(reps, "representatives")
+    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = rows.withColumn("usable", usable(F.col("id"), F.col("v"), F.col("label")))
+    good = rows.filter("usable").drop("usable").withColumn("key", F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + 0.0).cast("string"))), 256))
+    # A class of equal vectors has a number of its own once it is written; sums combine before the shuffle.
+    classes = good.groupBy("label", "key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v"))
+    classes = materialise(classes.withColumns({"dim": F.size("v"), "cls": F.monotonically_increasing_id()}), "vector-classes")
+    reps = classes.select("cls", "label", "dim", "weight", "v")
 
     sizes = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
     wanted = sizes.withColumn("wanted", F.least(F.lit(MAX_PIVOTS), F.greatest(F.lit(1), F.ceil(F.col("n") / PER_PIVOT))).cast("int"))
-    # Hash order with a bound: about twice as many as wanted pass, then the first of them stay.
-    drawn = reps.join(wanted, ["label", "dim"]).withColumn("h", F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(1 << 40)) / float(1 << 40))
-    drawn = drawn.filter((F.col("h") * F.col("n") < 4 * F.col("wanted") + 16)).withColumn("r", F.row_number().over(Window.partitionBy("label", "dim").orderBy("h", "id")))
-    pivots = drawn.filter("r <= wanted").groupBy("label", "dim").agg(F.collect_list("v").alias("pivots"))
+    # Drawn by hash with a bound, about twice as many as wanted; the least hash of a label is always in.
+    hashed = reps.join(wanted, ["label", "dim"]).withColumn("h", F.pmod(F.xxhash64("v", F.lit("pivot")), F.lit(1 << 40)) / float(1 << 40))
+    first = hashed.groupBy("label", "dim").agg(F.min_by("v", "h").alias("v"), F.min("h").alias("h"), F.first("wanted").alias("wanted"))
+    drawn = hashed.filter(F.col("h") * F.col("n") < 2 * F.col("wanted") - 1).select("label", "dim", "v", "h", "wanted").unionByName(first)
+    ordered = F.array_sort(F.collect_set(F.struct("h", "v")))
+    pivots = drawn.groupBy("label", "dim").agg(F.transform(F.slice(ordered, F.lit(1), F.first("wanted")), lambda x: x["v"]).alias("pivots"))
 
     reach = math.sqrt(2 - 2 * cosine)
-    kind = reps.schema["id"].dataType.simpleString()
     label_kind = reps.schema["label"].dataType.simpleString()
-    placed = reps.join(pivots, ["label", "dim"]).mapInPandas(_assign(reach), f"id {kind}, label {label_kind}, dim int, weight bigint, v array<double>, cell int, home boolean")
+    placed = reps.join(pivots, ["label", "dim"]).mapInPandas(_assign(reach), f"cls bigint, label {label_kind}, dim int, weight bigint, v array<double>, cell int, home boolean, ring int")
     placed = materialise(placed, "cells")
-    # Blocks of a cell by hash: home points on one side, all points of the cell on the other.
-    blocks = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(blocks, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = dealt.filter("home").select("*", F.lit(0).alias("side"), others.alias("other")).withColumnsRenamed({"block": "i", "other": "j"})
-    right = dealt.select("*", F.lit(1).alias("side"), others.alias("other")).withColumnsRenamed({"block": "j", "other": "i"})
-    pairs = left.unionByName(right).select("label", "dim", "cell", "i", "j", "side", "id", "weight", "v")
-    found = materialise(pairs.groupBy("label", "dim", "cell", "i", "j").applyInPandas(_join_block(cosine), f"id {kind}, links bigint, to {kind}"), "links")
-
-    sums = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "rep")
-    parts = connected_components(found.filter("id <> to"), "id", "to").withColumnsRenamed({"node": "rep", "component": "low"})
-    shared = members.join(sums, "rep", "left").join(parts, "rep", "left")
-    # The component's smallest member: each class stands by its smallest id already.
-    out = shared.select("id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("low", "rep").alias("component_id"))
-    rest = every.join(out.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    # Home points of a ring on one side; on the other all points of that ring and of its neighbours.
+    ring = ["label", "dim", "cell", "ring"]
+    right = placed.withColumn("ring", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)))
+    left = placed.filter("home")
+    count = lambda side, name: side.groupBy(*ring).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    blocks = count(left, "m").join(count(right, "n"), ring)
+    deal = lambda name: F.pmod(F.xxhash64("cls", F.lit("block")), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    left = left.join(blocks, ring).withColumns({"side": F.lit(0), "i": deal("m")}).withColumn("j", every("n"))
+    right = right.join(blocks, ring).withColumns({"side": F.lit(1), "j": deal("n")}).withColumn("i", every("m"))
+    columns = [*ring, "i", "j", "side", "cls", "weight", "v"]
+    pairs = left.select(*columns).unionByName(right.select(*columns))
+    found = materialise(pairs.groupBy(*ring, "i", "j").applyInPandas(_join_block(cosine), "cls bigint, links bigint, to bigint"), "vector-links")
+
+    sums = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    parts = connected_components(found.filter("cls <> to"), "cls", "to").withColumnsRenamed({"node": "cls", "component": "part"})
+    known = classes.select("label", "key", "cls", "low", "weight").join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    lowest = known.groupBy("part").agg(F.min("low").alias("component_id"))
+    known = known.join(lowest, "part").join(sums, "cls", "left").select("label", "key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    known = materialise(known, "vector-components")
+    discard(classes, placed, found)
+    out = good.select("id", "label", "key").join(known, ["label", "key"]).select("id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    rest = rows.filter("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_col)
