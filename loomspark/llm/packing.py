@@ -38,6 +38,8 @@ class WordTokenizer:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         vocabulary = self.tokenizer.get_vocab()
+        #: Tokens that are found in the text as it is written, before anything is lower-cased.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
@@ -55,11 +57,14 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> None:
         """Encode new words; of ASCII words only lower-case letters and a last stop or comma apart.
 
-        The tokenizer lower-cases anyway and splits letters from marks.
+        The tokenizer lower-cases anyway and splits letters from marks.  A word
+        that lower-casing would turn into one of its added tokens stays as it is.
         """
         known, parts = self.known, {}
         for word in words:
             base = word.lower() if word.isascii() else word
+            if base != word and not base.isalpha() and any(t in base for t in self.added):
+                base = word
             parts[word] = (base[:-1], base[-1]) if base[-1:] in (".", ",") and base.isascii() and base[:-1].isalpha() else (base,)
         new = [p for p in dict.fromkeys(p for found in parts.values() for p in found) if p not in known]
         self._learn_letters([p for p in new if p.isalpha()])
@@ -69,7 +74,6 @@ class WordTokenizer:
         for word, found in parts.items():
             known[word] = b"".join(known[p] for p in found)
 
-
     def _learn_letters(self, words: list[str]) -> None:
         """Encode words of letters together: each is one piece, whose last id ends a word.
 
