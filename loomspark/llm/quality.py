@@ -68,7 +68,7 @@ def features_of(text: str | None) -> tuple[int, ...]:
 
 
 def _features_batch(texts: pa.Array) -> pa.Array:
-    rows = [features_of(t) for t in texts.to_pylist()]
+    rows = [features_of(t.as_py()) for t in texts]  # one text at a time: a batch never exists twice
     columns = zip(*rows, strict=True) if rows else [[] for _ in _NAMES]
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_NAMES)
 
@@ -95,7 +95,8 @@ def default_rules(f: Column | None = None) -> dict[str, Column]:
         "symbols": _vote(20 * c("n_symbols") > words, never),
         "symbol_words": _vote(10 * c("n_symbol_words") > words, never),
         "repeats": _vote(5 * c("n_repeat_words") > words, never),
-        "variety": _vote((5 * c("n_distinct") < words) & (words < 5000), (2 * c("n_distinct") >= words) & (words >= 20)),
+        # A text's distinct words grow with the root of its length, so their square is held against its words.
+        "variety": _vote(c("n_distinct") * c("n_distinct") < 4 * words, (c("n_distinct") * c("n_distinct") >= 25 * words) & (words >= 20)),
         "dup_lines": _vote(2 * c("n_dup_lines") > c("n_lines"), never),
         "shouting": _vote(10 * c("n_upper") > 3 * letters, never),
         "marks": _vote(10 * c("n_marks") > words, never),
@@ -207,12 +208,13 @@ def score_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def filter_quality(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``df`` that ``score_quality`` would keep, with all their columns and no join.
 
-    Same cases as ``score_quality``; a column that clashes with a helper's name is left alone.
+    The rows are written once with their counts, which serve the fit and the
+    filter.  Same cases as ``score_quality``; a column that clashes with a
+    helper's name is left alone.
     """
     f = fresh(df, "__features")
-    held = df.withColumn(f, text_features(F.col(text_col)))
+    held = materialise(df.withColumn(f, text_features(F.col(text_col))), "quality-rows")
     rules = default_rules(F.col(f))
     model = fit_votes(list(rules), count_patterns(held.select(f), rules))
     good = ~base_failed(lambda n: F.col(f)[n]) & (posterior_column(model, rules) >= threshold)
     return held.filter(good).drop(f)
-
