@@ -2,7 +2,8 @@
 
 Every pattern is matched over the whole text in time linear in its length.  The
 base kinds (email, ip, card, phone) follow fixed rules and always stay; further
-kinds (iban, ssn) need a score that a checksum and the words before the span give them.
+kinds (iban, ssn, secret) need a score that a checksum, or for secrets the spread of
+their characters, and the words on both sides of the span give them.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
+from itertools import accumulate
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import fresh
 
 #: The order of kinds decides between spans that start together.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE_KINDS = KINDS[:4]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -32,20 +36,27 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-#: Words that make a kind likelier when one is among the CONTEXT characters before the span.
-CONTEXT = 60
+#: A long run of letters and digits, as keys and tokens are.
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{24,128}={0,2}(?![A-Za-z0-9_+/=-])")
+
+#: Words that make a kind likelier when one is among the CONTEXT characters before the span or the AFTER characters behind it.
+CONTEXT, AFTER = 60, 40
+#: In English, French, German and Spanish; fixed values.
 CONTEXT_WORDS = {
-    "email": ("email", "e-mail", "mail", "contact", "write"),
-    "ip": ("ip", "address", "server", "host", "login"),
-    "card": ("card", "visa", "credit", "payment", "account"),
-    "phone": ("phone", "call", "tel", "mobile", "fax"),
-    "iban": ("iban", "bank", "account", "transfer", "konto"),
-    "ssn": ("ssn", "social", "security", "tax"),
+    "email": ("email", "e-mail", "mail", "contact", "write", "courriel", "écrire", "kontakt", "schreiben", "correo", "contacto", "escribir"),
+    "ip": ("ip", "address", "server", "host", "login", "adresse", "serveur", "rechner", "anmeldung", "dirección", "servidor"),
+    "card": ("card", "visa", "credit", "payment", "account", "carte", "paiement", "crédit", "karte", "kreditkarte", "zahlung", "tarjeta", "pago", "crédito"),
+    "phone": ("phone", "call", "tel", "mobile", "fax", "téléphone", "appeler", "telefon", "anrufen", "handy", "teléfono", "llamar", "móvil"),
+    "iban": ("iban", "bank", "account", "transfer", "banque", "compte", "virement", "konto", "überweisung", "banco", "cuenta", "transferencia"),
+    "ssn": ("ssn", "social", "security", "tax", "sécurité", "sociale", "impôt", "sozialversicherung", "steuer", "seguridad", "impuesto"),
+    "secret": ("token", "key", "secret", "password", "api", "bearer", "jeton", "clé", "passe", "schlüssel", "passwort", "clave", "contraseña", "secreto"),
 }
-_CONTEXT_RE = {k: re.compile(r"(?<![a-z])(?:" + "|".join(map(re.escape, v)) + r")(?![a-z])") for k, v in CONTEXT_WORDS.items()}
+_CONTEXT_RE = {k: re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, v)) + r")(?![^\W\d_])") for k, v in CONTEXT_WORDS.items()}
 #: Score of a proposal, and what a confirmed checksum and a context word add.
-START = {"email": 0.9, "ip": 0.7, "card": 0.4, "phone": 0.6, "iban": 0.3, "ssn": 0.3}
+START = {"email": 0.9, "ip": 0.7, "card": 0.4, "phone": 0.6, "iban": 0.2, "ssn": 0.3, "secret": 0.1}
 CHECKSUM_GAIN, CONTEXT_GAIN, KEEP = 0.5, 0.3, 0.6
+#: Bits a character of a text that no one wrote by hand: a random hex string has nearly 4.
+RANDOM_BITS = 3.0
 
 
 def luhn(digits: str) -> bool:
@@ -58,6 +69,13 @@ def mod97(iban: str) -> bool:
     return 15 <= len(compact) <= 34 and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
+def looks_random(text: str) -> bool:
+    """Letters and digits mixed, and spread as evenly as in a drawn key."""
+    counts = Counter(text)
+    bits = -sum(c / len(text) * log2(c / len(text)) for c in counts.values())
+    return bits >= RANDOM_BITS and any(c.isdigit() for c in counts) and any(c.isalpha() for c in counts)
+
+
 def _emails(text: str) -> list[tuple[int, int]]:
     """Spans of local@domain.tld, leftmost first: from each @, back to the first local character."""
     found, floor, at = [], 0, text.find("@")
@@ -94,22 +112,31 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def more_spans(text: str, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Spans of the further kinds whose score reaches KEEP and that touch no base span."""
+    """Spans of the further kinds whose score reaches KEEP.
+
+    One that a checksum confirms stands beside a base span that it overlaps; any
+    other gives way to it.
+    """
+    starts = [a for a, _, _, _ in base]
+    #: The furthest end of the base spans up to each.
+    ends = list(accumulate((b for _, _, b, _ in base), max))
     found = []
-    for place, pattern, confirmed in ((4, _IBAN, mod97), (5, _SSN, None)):
+    for place, pattern, confirm in ((4, _IBAN, mod97), (5, _SSN, None), (6, _SECRET, looks_random)):
         for m in pattern.finditer(text):
-            if confirmed and not confirmed(m.group()):
+            if confirm and not confirm(m.group()):
+                continue
+            if score_of(text, KINDS[place], m.start(), m.end(), bool(confirm)) < KEEP:
                 continue
-            if score_of(text, KINDS[place], m.start(), bool(confirmed)) >= KEEP:
-                k = bisect_left(base, (m.end(),))
-                if not any(b[2] > m.start() for b in base[max(0, k - 8) : k]):
-                    found.append((m.start(), place, m.end(), 0))
+            before = bisect_left(starts, m.end())
+            if place == 4 or not before or ends[before - 1] <= m.start():
+                found.append((m.start(), place, m.end(), 0))
     return found
 
 
-def score_of(text: str, kind: str, start: int, confirmed: bool) -> float:
-    """Start value, plus the checksum's gain, plus the gain of a context word just before the span."""
-    near = _CONTEXT_RE[kind].search(text[max(0, start - CONTEXT) : start].lower())
+def score_of(text: str, kind: str, start: int, end: int, confirmed: bool) -> float:
+    """Start value, plus the gain of what confirms the span, plus that of a context word on either side of it."""
+    pattern = _CONTEXT_RE[kind]
+    near = pattern.search(text[max(0, start - CONTEXT) : start].lower()) or pattern.search(text[end : end + AFTER].lower())
     return min(1.0, START[kind] + CHECKSUM_GAIN * confirmed + CONTEXT_GAIN * bool(near))
 
 
@@ -125,24 +152,25 @@ def _join(spans: list[tuple[int, int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in spans)
 
 
-_TYPE = "struct<n_email:bigint,n_ip:bigint,n_card:bigint,n_phone:bigint,base_sha256:string,spans:string,scores:array<double>>"
-_TYPES = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.list_(pa.float64())]
-_NAMES = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores"]
+_TYPE = "struct<n_email:bigint,n_ip:bigint,n_card:bigint,n_phone:bigint,n_spans:bigint,base_sha256:string,spans:string,scores:string>"
+_TYPES = [pa.int64()] * 5 + [pa.string()] * 3
+_NAMES = ["n_email", "n_ip", "n_card", "n_phone", "n_spans", "base_sha256", "spans", "scores"]
 
 
 def _spans_batch(texts: pa.Array) -> pa.Array:
     rows = []
-    for text in texts.to_pylist():
+    for value in texts:
+        text = value.as_py()
         spans = find_spans(text)
         base = [s for s in spans if s[3]]
-        scores = [score_of(text, KINDS[k], a, k in (2, 4)) for a, k, _, _ in spans]
-        rows.append((*[sum(s[1] == k for s in base) for k in range(4)], hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans), scores))
+        scores = ",".join(f"{score_of(text, KINDS[k], a, b, k in (2, 4, 6)):.2f}" for a, k, b, _ in spans)
+        rows.append((*[sum(s[1] == k for s in base) for k in range(4)], len(spans), hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans), scores))
     columns = zip(*rows, strict=True) if rows else [[] for _ in _NAMES]
     return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
 
 def _masked_batch(texts: pa.Array) -> pa.Array:
-    return pa.array([mask(t) for t in texts.to_pylist()], pa.string())
+    return pa.array([mask(t.as_py()) for t in texts], pa.string())
 
 
 def mask(text: str | None) -> str | None:
@@ -159,7 +187,7 @@ def mask(text: str | None) -> str | None:
 
 
 def pii_spans(text: Column) -> Column:
-    """Struct of the counts, the digest of the base spans, all spans and their scores."""
+    """Struct of the counts, the digest of the base spans, all spans and, in their order, their scores."""
     return F.arrow_udf(_spans_batch, _TYPE)(text)
 
 
