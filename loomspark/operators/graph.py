@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.session import written
+
 
 def nodes(deps: DataFrame) -> DataFrame:
     return deps.select(F.col("dep_slug").alias("step_slug")).union(deps.select("step_slug")).distinct()
@@ -15,21 +17,25 @@ def leaves(deps: DataFrame) -> DataFrame:
     return nodes(deps).join(deps.select(F.col("dep_slug").alias("step_slug")), "step_slug", "left_anti")
 
 
-def descendants(deps: DataFrame, levels: int = 100) -> DataFrame:
+def descendants(deps: DataFrame) -> DataFrame:
     """(ancestor, step_slug, depth): transitive closure with the shortest depth.
 
     Edge tables are definitions, a few rows a flow, so each level is a small
-    join; the loop ends with the first level that adds nothing.
+    join; the loop ends with the first level that adds nothing.  A walk longer
+    than there are steps is a cycle, which is an error.
     """
-    frontier = deps.select(F.col("dep_slug").alias("ancestor"), "step_slug", F.lit(1).alias("depth"))
-    found = frontier
-    for level in range(2, levels + 1):
-        step = deps.select(F.col("dep_slug").alias("at"), F.col("step_slug").alias("next"))
-        frontier = frontier.join(step, frontier["step_slug"] == step["at"]).select("ancestor", F.col("next").alias("step_slug"), F.lit(level).alias("depth")).distinct()
+    step = deps.select(F.col("dep_slug").alias("at"), F.col("step_slug").alias("next"))
+    frontier = written(deps.select(F.col("dep_slug").alias("ancestor"), "step_slug", F.lit(1).alias("depth")).distinct(), "closure")
+    found, level, steps = frontier, 1, nodes(deps).count()
+    while True:
+        level += 1
+        after = frontier.join(step, frontier["step_slug"] == step["at"]).select("ancestor", F.col("next").alias("step_slug"), F.lit(level).alias("depth")).distinct()
+        frontier = written(after, "closure")
         if frontier.isEmpty():
-            break
+            return found.groupBy("ancestor", "step_slug").agg(F.min("depth").alias("depth"))
+        if level > steps:
+            raise ValueError("the steps' dependencies form a cycle")
         found = found.unionByName(frontier)
-    return found.groupBy("ancestor", "step_slug").agg(F.min("depth").alias("depth"))
 
 
 def waves(deps: DataFrame) -> DataFrame:

@@ -12,6 +12,20 @@ from pyspark.sql import functions as F
 from loomspark.functions.scalars import visible_at
 
 
+MESSAGES = "queue_name string, msg_id bigint, read_ct int, enqueued_at timestamp, vt timestamp, message string"
+
+
+def create_queue(queues: DataFrame, name: str, now: Column) -> DataFrame:
+    """The table of queues (queue_name, created_at) with ``name``; one that is there already stays as it is."""
+    row = queues.sparkSession.range(1).select(F.lit(name).alias("queue_name"), now.alias("created_at"))
+    return queues.unionByName(row.join(queues.select("queue_name"), "queue_name", "left_anti"))
+
+
+def drop_queue(queues: DataFrame, messages: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(queues, messages) without ``name`` and its messages; dropping an unknown queue changes nothing."""
+    return queues.filter(F.col("queue_name") != name), messages.filter(F.col("queue_name") != name)
+
+
 def send_batch(queue: DataFrame, messages: DataFrame, now: Column, delay: Column | int = 0) -> DataFrame:
     """``queue`` with ``messages`` (queue_name, msg_id, message) appended, visible after ``delay`` seconds."""
     delay = delay if isinstance(delay, Column) else F.lit(delay)
@@ -22,8 +36,9 @@ def send_batch(queue: DataFrame, messages: DataFrame, now: Column, delay: Column
 def read_visible(queue: DataFrame, now: Column, quantity: int, visibility: int, keys: list[str] | None = None) -> DataFrame:
     """The first ``quantity`` visible messages of each queue, with raised count and moved visibility.
 
-    The rank is limited per key before the shuffle, so a queue of any size sends
-    at most ``quantity`` rows of each partition.
+    A rank that is compared with a constant becomes a group limit in the plan
+    (``WindowGroupLimit``, partial before the exchange), so a queue of any size
+    sends at most ``quantity`` rows of each partition.
     """
     keys = keys or ["queue_name"]
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("msg_id"))
@@ -39,7 +54,7 @@ def set_visibility(queue: DataFrame, ids: list[int], offsets: list[int], now: Co
     wanted = queue.sparkSession.range(1).select(pairs.alias("p")).select(F.col("p.msg_id").cast("long").alias("msg_id"), F.col("p.offset").alias("offset")) if ids else None
     if wanted is None:
         return queue.limit(0)
-    return queue.join(F.broadcast(wanted), "msg_id").withColumn("vt", visible_at(now, F.col("offset"))).drop("offset")
+    return queue.join(wanted, "msg_id").withColumn("vt", visible_at(now, F.col("offset"))).drop("offset")
 
 
 def archive(queue: DataFrame, ids: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:

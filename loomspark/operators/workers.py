@@ -48,6 +48,27 @@ def mark_stopped(workers: DataFrame, worker_id: str, now: Column) -> DataFrame:
     return workers.withColumn("stopped_at", F.when(F.col("worker_id") == worker_id, now).otherwise(F.col("stopped_at")))
 
 
+def insert_worker(workers: DataFrame, worker_id: str, queue_name: str, function_name: str, now: Column) -> DataFrame:
+    """``workers`` with one that starts and beats now; a known id is not inserted again."""
+    row = workers.sparkSession.range(1).select(F.lit(worker_id).alias("worker_id"), F.lit(queue_name).alias("queue_name"), F.lit(function_name).alias("function_name"), now.alias("started_at"), now.alias("last_heartbeat_at"))
+    new = row.join(workers.select("worker_id"), "worker_id", "left_anti")
+    return workers.unionByName(new, allowMissingColumns=True)
+
+
+def deprecate(workers: DataFrame, function_name: str, now: Column) -> DataFrame:
+    """Living workers of a function are told to stop taking messages; those deprecated before keep their time."""
+    mine = (F.col("function_name") == function_name) & F.col("deprecated_at").isNull() & F.col("stopped_at").isNull()
+    return workers.withColumn("deprecated_at", F.when(mine, now).otherwise(F.col("deprecated_at")))
+
+
+def beat(workers: DataFrame, beats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(workers, answers): heartbeats (worker_id, at) move the last one; each answer says whether its worker is deprecated."""
+    last = beats.groupBy("worker_id").agg(F.max("at").alias("__at"))
+    joined = workers.join(last, "worker_id", "left")
+    moved = joined.withColumn("last_heartbeat_at", F.greatest("last_heartbeat_at", F.col("__at"))).drop("__at")
+    return moved, joined.filter("__at is not null").select("worker_id", F.col("deprecated_at").isNotNull().alias("is_deprecated"))
+
+
 def invalid_transitions(log: DataFrame, key: str, state: str, at: list[str]) -> DataFrame:
     """Log rows whose move from the key's former state is not allowed."""
     moves = log.withColumn("__from", F.lag(state).over(Window.partitionBy(key).orderBy(*at))).filter("__from is not null")

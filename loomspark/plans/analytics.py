@@ -225,7 +225,11 @@ def latency_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT round(quantile_cont(latency, 0.5), 4) AS p50, round(quantile_cont(latency, 0.75), 4) AS p75, round(quantile_cont(latency, 0.9), 4) AS p90, round(quantile_cont(latency, 0.95), 4) AS p95, round(quantile_cont(latency, 0.99), 4) AS p99 FROM {_LAT}")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return _latency(spark, d).agg(*[F.round(F.percentile("latency", p), 4).alias(f"p{int(100 * p)}") for p in (0.5, 0.75, 0.9, 0.95, 0.99)])
+    from loomspark.functions.quantiles import exact_quantiles
+
+    points = [0.5, 0.75, 0.9, 0.95, 0.99]
+    names = [f"p{int(100 * p)}" for p in points]
+    return exact_quantiles(_latency(spark, d), "latency", points, names).select(*[F.round(n, 4).alias(n) for n in names])
 
 
 @query("SELECT hour, n, CAST(sum(n) OVER (ORDER BY hour) AS BIGINT) AS running FROM (SELECT CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY 1)")
@@ -242,10 +246,13 @@ def width_bucket_hist(spark: SparkSession, d: str) -> DataFrame:
     return _latency(spark, d).groupBy("read_ct", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CAST(epoch_us(date_trunc('second', ts)) / 1000000 AS BIGINT) AS second, count(*) AS n FROM events WHERE event_id BETWEEN 100 AND 500 GROUP BY 1")
+@query("SELECT second, second - (SELECT CAST(epoch_us(date_trunc('second', min(ts))) / 1000000 AS BIGINT) FROM events) AS since, n FROM (SELECT CAST(epoch_us(date_trunc('second', ts)) / 1000000 AS BIGINT) AS second, count(*) AS n FROM events GROUP BY 1)")
 def per_second_distribution(spark: SparkSession, d: str) -> DataFrame:
-    second = F.floor(_us("ts") / 1000000).cast("long")
-    return X.table(spark, d, "events").filter(F.col("event_id").between(100, 500)).groupBy(second.alias("second")).agg(F.count(F.lit(1)).alias("n"))
+    """All events by second, and the seconds since the first."""
+    e = X.table(spark, d, "events").select(F.floor(_us("ts") / 1000000).cast("long").alias("second"))
+    n = e.groupBy("second").agg(F.count(F.lit(1)).alias("n"))
+    first = e.agg(F.min("second").alias("first"))
+    return n.crossJoin(F.broadcast(first)).select("second", (F.col("second") - F.col("first")).alias("since"), "n")
 
 
 @query("SELECT CAST(epoch_us(date_trunc('second', ts)) / 1000000 AS BIGINT) AS second, count(*) AS n FROM events GROUP BY 1")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.plans import analytics, relational  # noqa: F401  analytics registers with the same decorator
+from loomspark.plans import analytics, relational, workflows  # noqa: F401  all three register with the same decorator
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES
 ORACLES: dict[str, str] = relational.ORACLES

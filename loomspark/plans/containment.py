@@ -95,6 +95,12 @@ def _typed(value: Column, kind: T.DataType, pattern: Any) -> Column:
     return value == pattern if isinstance(kind, T.NumericType) else F.lit(False)
 
 
+def has_key(value: Column, key: str) -> Column:
+    """Whether a VARIANT object has a key, whatever its value (null included); never null."""
+    found = F.startswith(F.schema_of_variant(value), F.lit("OBJECT")) & F.try_variant_get(value, _path(key), "variant").isNotNull()
+    return F.coalesce(found, F.lit(False))
+
+
 def contains_value(value: Any, pattern: Any) -> bool:
     """The same rule on Python values; the oracle of the tests."""
     if isinstance(pattern, dict):

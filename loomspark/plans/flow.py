@@ -10,6 +10,7 @@ import json
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
+from itertools import zip_longest
 from typing import Any
 
 from loomspark.functions.scalars import MAX_SLUG, RESERVED_SLUGS
@@ -129,29 +130,28 @@ def shape(flow: Flow) -> dict:
     }
 
 
-def compare_shapes(a: dict, b: dict) -> list[str]:
-    """Differences of two shapes, step by step in order; empty when equal."""
-    found, left, right = [], a["steps"], b["steps"]
-    if len(left) != len(right):
-        found.append(f"Step count differs: {len(left)} vs {len(right)}")
-    for k in range(max(len(left), len(right))):
-        if k >= len(left) or k >= len(right):
-            side, s = ("first", right[k]) if k >= len(left) else ("second", left[k])
-            found.append(f"Step at index {k}: missing in {side} shape (slug: '{s['slug']}')")
-            continue
-        x, y = left[k], right[k]
-        if x["slug"] != y["slug"]:
-            found.append(f"Step at index {k}: slug differs '{x['slug']}' vs '{y['slug']}'")
-        if x["stepType"] != y["stepType"]:
-            found.append(f"Step at index {k}: type differs '{x['stepType']}' vs '{y['stepType']}'")
-        if x["dependencies"] != y["dependencies"]:
-            found.append(f"Step at index {k}: dependencies differ [{', '.join(x['dependencies'])}] vs [{', '.join(y['dependencies'])}]")
-        for name in ("whenUnmet", "whenExhausted"):
-            if x[name] != y[name]:
-                found.append(f"Step at index {k}: {name} differs '{x[name]}' vs '{y[name]}'")
-        for name in ("requiredInputPattern", "forbiddenInputPattern"):
-            if x[name] != y[name]:
-                found.append(f"Step at index {k}: {name} differs '{json.dumps(x[name])}' vs '{json.dumps(y[name])}'")
+#: What two steps at the same place of two shapes must agree in.
+COMPARED = ("slug", "stepType", "dependencies", "whenUnmet", "whenExhausted", "requiredInputPattern", "forbiddenInputPattern")
+
+
+def compare_shapes(a: dict, b: dict) -> list[dict]:
+    """Where two shapes differ, as (index, field, first, second); empty when they are equal.
+
+    Unequal lengths are one difference of the field ``steps``; a step that only
+    one side has is one of the field ``slug`` with nothing on the other side.
+    """
+    sides = a["steps"], b["steps"]
+    found = []
+
+    def note(index: int | None, field_: str, first: Any, second: Any) -> None:
+        if first != second:
+            found.append({"index": index, "field": field_, "first": first, "second": second})
+
+    note(None, "steps", *map(len, sides))
+    for index, (x, y) in enumerate(zip_longest(*sides)):
+        fields = COMPARED if x and y else ("slug",)
+        for name in fields:
+            note(index, name, x and x[name], y and y[name])
     return found
 
 

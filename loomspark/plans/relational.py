@@ -311,16 +311,16 @@ def _queue(spark: SparkSession, d: str) -> DataFrame:
 
 
 _VT = "enqueued_at + to_seconds(CAST(msg_id % 7 * 60 AS INT))"
-_NOWQ = "(SELECT quantile_disc(ts, 0.5) FROM events)"
 
 
 @query(
-    f"SELECT queue_name, msg_id, CAST(read_ct + 1 AS INT) AS read_ct FROM (SELECT *, row_number() OVER (PARTITION BY queue_name ORDER BY msg_id) AS p FROM fx_msgs WHERE {_VT} <= TIMESTAMP '2100-01-01 00:00:00' AND user_id % 2 = 0) WHERE p <= 50",
+    f"SELECT queue_name, msg_id, CAST(read_ct + 1 AS INT) AS read_ct, CAST(epoch_us(TIMESTAMP '2024-01-10 00:00:30') AS BIGINT) AS vt_us FROM (SELECT *, row_number() OVER (PARTITION BY queue_name ORDER BY msg_id) AS p FROM fx_msgs WHERE {_VT} <= TIMESTAMP '2024-01-10 00:00:00') WHERE p <= 50",
     "fx_msgs",
 )
 def visible_read_topk(spark: SparkSession, d: str) -> DataFrame:
-    got = queue.read_visible(_queue(spark, d).filter("user_id % 2 = 0"), F.lit("2100-01-01 00:00:00").cast("timestamp_ntz"), 50, 30)
-    return got.select("queue_name", "msg_id", "read_ct")
+    """A read of whole queues at a moment within the data, with the visibility that it gives what it read."""
+    got = queue.read_visible(_queue(spark, d), F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), 50, 30)
+    return got.select("queue_name", "msg_id", "read_ct", F.unix_micros(F.col("vt").cast("timestamp")).alias("vt_us"))
 
 
 @query(
@@ -377,12 +377,14 @@ def queue_handler_retry(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT msg_id, queue_name, 0 AS read_ct FROM fx_msgs WHERE msg_id < 100 UNION ALL SELECT msg_id + 1000000, 'q_new', 0 FROM fx_msgs WHERE msg_id < 10", "fx_msgs"
+    f"SELECT msg_id, queue_name, read_ct, CAST(epoch_us({_VT}) AS BIGINT) AS vt_us FROM fx_msgs UNION ALL SELECT msg_id + 1000000000000, 'q_new', 0, CAST(epoch_us(TIMESTAMP '1998-01-01 00:00:05') AS BIGINT) FROM fx_msgs", "fx_msgs"
 )
 def enqueue_batch(spark: SparkSession, d: str) -> DataFrame:
-    base = _queue(spark, d).filter("msg_id < 100").withColumn("read_ct", F.lit(0)).select("queue_name", "msg_id", "read_ct", "enqueued_at", "vt", "message")
-    new = X.messages(spark, d).filter("msg_id < 10").select(F.lit("q_new").alias("queue_name"), (F.col("msg_id") + 1000000).alias("msg_id"), "message")
-    return queue.send_batch(base, new, F.lit(_NOW).cast("timestamp_ntz"), 5).select("msg_id", "queue_name", "read_ct")
+    """A batch of all messages sent to the whole queue, visible after its delay."""
+    base = _queue(spark, d).select("queue_name", "msg_id", "read_ct", "enqueued_at", "vt", "message")
+    new = X.messages(spark, d).select(F.lit("q_new").alias("queue_name"), (F.col("msg_id") + 1000000000000).alias("msg_id"), "message")
+    sent = queue.send_batch(base, new, F.lit(_NOW).cast("timestamp_ntz"), 5)
+    return sent.select("msg_id", "queue_name", "read_ct", F.unix_micros(F.col("vt").cast("timestamp")).alias("vt_us"))
 
 
 @query("SELECT msg_id, queue_name, read_ct FROM fx_msgs UNION ALL SELECT msg_id + 1000000000000, 'q_new', 0 FROM fx_msgs", "fx_msgs")

@@ -24,6 +24,11 @@ def get_session(app_name: str = "loomspark", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether the session runs in one process, where all enabled functions are woken at once."""
+    return spark.sparkContext.master.startswith("local")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -33,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("loomspark.shared.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not is_local(spark):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     found = tempfile.mkdtemp(prefix="loomspark-")
     spark.conf.set("loomspark.shared.dir", found)

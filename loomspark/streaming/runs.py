@@ -1,14 +1,19 @@
 """Keyed streaming execution of flows: a command stream in, an event stream out.
 
 State is kept per run; commands are ``start`` (input), ``complete`` (step, task,
-output), ``fail`` (step, task, error) and ``tick`` (a moment: what stalled or
-backed off becomes visible).  The processor's state holds one row a step
-and one value a task, so that a wide map never has to fit one cell.
+output), ``fail`` (step, task, error) and ``tick`` (a moment in seconds).  A tick
+sets the run's clock: tasks whose backoff is over start again, and tasks that run
+longer than timeout and grace are queued again, three times at most.  Without a
+tick a run has no clock, and a failed task with attempts left starts again at once.
+
+The state holds one row a step and one value a task; a map's outputs are gathered
+in its step's row when its last task completes.  An ended run keeps its status alone.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -18,8 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
+from loomspark.operators.state import GRACE_SECONDS, MAX_REQUEUES
 from loomspark.plans.containment import contains_value
 from loomspark.plans.flow import Flow, Step
+from loomspark.session import shared_folder
 
 COMMANDS = "run_id string, seq bigint, command string, step_slug string, task_index int, payload string"
 EVENTS = "run_id string, seq bigint, event_type string, step_slug string, task_index int, status string, payload string"
@@ -37,6 +44,7 @@ class RunProcessor(StatefulProcessor):
         self.run = handle.getValueState("run", text)
         self.steps = handle.getMapState("steps", key, text)
         self.tasks = handle.getMapState("tasks", key, text)
+        self.clock = handle.getValueState("clock", text)
 
     def close(self) -> None:
         pass
@@ -65,8 +73,42 @@ class RunProcessor(StatefulProcessor):
                 self._start(c.payload)
             elif c.command in ("complete", "fail"):
                 self._report(c.command, c.step_slug, index, c.payload)
+            elif c.command == "tick" and self.run.exists() and self._run()["status"] == "started":
+                self._tick(float(json.loads(c.payload)))
+            if self.run.exists() and self._run()["status"] != "started":
+                self._forget()
         yield pd.DataFrame(out, columns=["run_id", "seq", "event_type", "step_slug", "task_index", "status", "payload"])
 
+    def _now(self) -> float | None:
+        return json.loads(self.clock.get()[0]) if self.clock.exists() else None
+
+    def _forget(self) -> None:
+        """An ended run keeps no steps and tasks: its status is enough to drop what comes late."""
+        self._put_run({"status": self._run()["status"], "input": None})
+        for state in (self.steps, self.tasks, self.clock):
+            state.clear()
+
+    def _tick(self, moment: float) -> None:
+        self.clock.update((json.dumps(moment),))
+        held = sorted((key[0], json.loads(value[0])) for key, value in self.tasks.iterator())
+        for key, task in held:
+            slug, _, index = key.rpartition("/")
+            spec, index = self.flow.get(slug), int(index)
+            if self._step(slug)["status"] != "started":
+                continue
+            late = task["status"] == "started" and task.get("since") is not None and moment > task["since"] + self.flow.option(spec, "timeout") + GRACE_SECONDS
+            if task["status"] == "queued" and task["until"] <= moment:
+                self._put_task(slug, index, {**task, "status": "started", "since": moment})
+                self._emit("task:visible", "started", slug, {"attempt": task["attempts"]}, index)
+            elif task["status"] == "started" and task.get("since") is None:
+                self._put_task(slug, index, {**task, "since": moment})  # the first tick it sees starts its lease
+            elif late and task.get("requeued", 0) < MAX_REQUEUES:
+                self._put_task(slug, index, {**task, "since": moment, "requeued": task.get("requeued", 0) + 1})
+                self._emit("task:requeued", "started", slug, {"requeued": task.get("requeued", 0) + 1}, index)
+            elif late:
+                self._put_task(slug, index, {**task, "status": "stalled"})
+                self._emit("task:stalled", "stalled", slug, index=index)
+
     def _emit(self, kind: str, status: str, slug: str | None = None, payload: Any = None, index: int | None = None) -> None:
         self.out.append((self.run_id, self.seq, kind, slug, index, status, None if payload is None else json.dumps(payload)))
 
@@ -117,7 +159,9 @@ class RunProcessor(StatefulProcessor):
     def _failed(self, spec: Step, index: int, task: dict, error: str) -> None:
         if task["attempts"] < self.flow.option(spec, "max_attempts"):
             delay = self.flow.option(spec, "base_delay") * 2 ** task["attempts"]
-            self._put_task(spec.slug, index, {**task, "attempts": task["attempts"] + 1})
+            now = self._now()
+            wait = {} if now is None else {"status": "queued", "until": now + delay}
+            self._put_task(spec.slug, index, {**task, **wait, "attempts": task["attempts"] + 1})
             self._emit("task:retry", "started", spec.slug, {"delay": delay, "attempt": task["attempts"] + 1}, index)
             return
         self._put_task(spec.slug, index, {**task, "status": "failed"})
@@ -172,7 +216,7 @@ class RunProcessor(StatefulProcessor):
                     continue
                 self._put_step(s.slug, {"status": "started", "open": width, "tasks": width})
                 for k in range(width):
-                    self._put_task(s.slug, k, {"status": "started", "attempts": 1})
+                    self._put_task(s.slug, k, {"status": "started", "attempts": 1, "since": self._now()})
                 self._emit("step:started", "started", s.slug, {"remaining_tasks": width})
         states = {s.slug: self._step(s.slug) for s in self.flow.steps}
         if all(s["status"] in ("completed", "skipped") for s in states.values()):
@@ -187,6 +231,29 @@ def run_stream(flow: Flow, commands: DataFrame) -> DataFrame:
     return commands.groupBy("run_id").transformWithStateInPandas(RunProcessor(plain), EVENTS, "Append", "None")
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def replay(flow: Flow, commands: DataFrame) -> DataFrame:
+    """The events of a finished table of commands, by a stream that takes all of it and ends.
+
+    Commands, checkpoint and events lie in the shared folder, so a lost executor
+    costs a retry of its tasks.
+    """
+    spark = commands.sparkSession
+    folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    commands.select(*[c.split()[0] for c in COMMANDS.split(", ")]).write.parquet(f"{folder}/commands")
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = run_stream(flow, spark.readStream.schema(COMMANDS).parquet(f"{folder}/commands"))
+        sink = stream.writeStream.format("parquet").option("path", f"{folder}/events").option("checkpointLocation", f"{folder}/checkpoint")
+        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before)
+    return spark.read.schema(EVENTS).parquet(f"{folder}/events")
+
+
 def fold_stream(events: DataFrame) -> DataFrame:
     """Run status from an event stream, in update mode: the first terminal event wins, else the highest status."""
     from loomspark.operators.events import RUN_RANK, RUN_TERMINAL, fold_status

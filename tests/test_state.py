@@ -105,3 +105,106 @@ def test_definitions(spark):
     with pytest.raises(ValueError):
         definitions.add_step(steps, deps, "f", "c", ["a", "b"], "map")
     assert definitions.delete_flow({"s": steps}, "f")["s"].count() == 0
+
+
+def test_a_chain_of_any_depth_plans_the_same_joins(spark):
+    """Starts and completions join a fixed number of times, and an empty array runs through 49 maps in one call."""
+    flow = Flow("chain").map("m0", None)
+    for k in range(1, 49):
+        flow = flow.map(f"m{k}", None, f"m{k - 1}")
+    snap, _ = state.start_runs(flow, spark.createDataFrame([("e", "[]"), ("x", "[1]")], "run_id string, input string"), now())
+    assert {(r.run_id, r.status, r.output) for r in snap.runs.collect()} == {("e", "completed", '{"m48":[]}'), ("x", "started", None)}
+    assert snap.states.filter("run_id = 'e' and status = 'completed'").count() == 49
+    for frame_ in (snap.runs, snap.states, snap.tasks):
+        assert frame_._jdf.queryExecution().analyzed().toString().count("Join") == 0
+
+
+def test_events_and_messages(spark):
+    snap, _ = start_all(begin(spark, "1"), spark)
+    snap = state.complete_tasks(snap, frame(spark, [("0", "a", 0, "[3]")], "output"), now())
+    got = [(r.event_type, r.step_slug) for r in snap.events.orderBy("seq").collect()]
+    assert got == [("step:completed", "a"), ("step:started", "m"), ("step:skipped", "opt"), ("step:skipped", "after")]
+    done = next(r for r in snap.events.collect() if r.event_type == "step:completed")
+    assert json.loads(done.payload)["output"] == "[3]"
+    assert [r.msg_id for r in state.messages(snap).collect()] == ["0/m/0"]
+    # Late reports: the message goes, nothing else moves; in a failed run a started task fails.
+    again = state.complete_tasks(snap, frame(spark, [("0", "a", 0, "[9]")], "output"), now())
+    assert states(again)["0", "a"].output == "[3]" and again.events.count() == 0
+
+
+def test_a_failed_condition_starts_nothing(spark):
+    flow = Flow("g").step("a", None).step("s", None, if_={"x": 1}).step("t", None, ["s"], if_={"s": 1}, when_unmet="fail")
+    snap, _ = state.start_runs(flow, spark.createDataFrame([("r", '{"x":2}')], "run_id string, input string"), now())
+    assert {k[1]: v.status for k, v in states(snap).items()} == {"a": "created", "s": "skipped", "t": "failed"}
+    assert snap.runs.first().status == "failed" and snap.tasks.count() == 0
+    assert [r.event_type for r in snap.events.orderBy("seq").collect()] == ["run:started", "step:skipped", "step:failed", "run:failed"]
+
+
+def test_requeue_and_prune(spark):
+    snap, _ = start_all(begin(spark, "1"), spark)
+    later = lambda n: F.lit(f"2024-01-01 0{n}:00:00").cast("timestamp")
+    for n in range(1, 4):
+        snap = state.requeue(snap, later(n))
+        row = snap.tasks.first()
+        assert (row.status, row.worker, row.requeued_count) == ("queued", None, n)
+        snap, _ = state.start_tasks(snap, snap.tasks, "w", later(n))
+    row = state.requeue(snap, later(5)).tasks.first()
+    assert (row.status, row.requeued_count) == ("started", 3) and row.permanently_stalled_at and row.archived_at
+    failed = state.fail_tasks(snap, frame(spark, [("0", "a", 0, "x")], "error"), now())
+    failed, _ = state.start_tasks(failed, failed.tasks, "w", now())
+    assert state.prune_snapshot(failed, later(9)).runs.count() == failed.runs.filter("status = 'started'").count()
+
+
+def test_full_definitions(spark):
+    empty = lambda schema: spark.createDataFrame([], schema)
+    flows = definitions.create_flow(definitions.create_flow(empty(definitions.FLOWS), "f", timeout=9), "f", timeout=80)
+    assert [tuple(r) for r in flows.collect()] == [("f", 3, 5, 9)]
+    steps, deps = definitions.add_step(empty(definitions.STEPS), empty(definitions.DEPS), "f", "a", [], max_attempts=7)
+    steps, deps = definitions.add_step(steps, deps, "f", "b", ["a"], "map", if_={"a": [1]}, when_unmet="fail")
+    with pytest.raises(ValueError):
+        definitions.add_step(steps, deps, "f", "run", [])
+    shapes = definitions.shape_json(steps, deps)
+    one = json.loads(shapes.first().shape)["steps"][1]
+    assert one["requiredInputPattern"] == {"defined": True, "value": {"a": [1]}} and one["whenUnmet"] == "fail"
+    assert [(r.step_slug, r.max_attempts) for r in definitions.effective_options(flows, steps).orderBy("step_slug").collect()] == [("a", 7), ("b", 3)]
+    _, again, edges = definitions.from_shapes(shapes)
+    assert definitions.field_differences(shapes, definitions.shape_json(again, edges)).count() == 0
+    assert definitions.read_definition(flows, steps, "f").count() == 1 and definitions.read_definition(flows, steps, "none").count() == 0
+
+
+def test_closure_ends_and_rejects_cycles(spark):
+    from loomspark.operators import graph
+
+    chain = spark.createDataFrame([(f"s{k}", f"s{k + 1}") for k in range(6)], "dep_slug string, step_slug string")
+    assert graph.descendants(chain).count() == 21
+    with pytest.raises(ValueError):
+        graph.descendants(spark.createDataFrame([("a", "b"), ("b", "a")], "dep_slug string, step_slug string"))
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from loomspark.functions.quantiles import exact_quantiles
+
+    values = [float(v) for v in np.random.default_rng(4).integers(0, 50, 997)] + [None]
+    got = exact_quantiles(spark.createDataFrame([(v,) for v in values], "x double"), "x", [0, 0.25, 0.5, 0.99, 1], list("abcde")).first()
+    assert np.allclose(list(got), np.quantile(values[:-1], [0, 0.25, 0.5, 0.99, 1]))
+    assert list(exact_quantiles(spark.createDataFrame([], "x double"), "x", [0.5], ["m"]).first()) == [None]
+
+
+def test_events_after_a_snapshot(spark):
+    from loomspark.operators import events
+
+    snap = spark.createDataFrame([("a", "completed", 5), ("b", "started", 5)], "k string, status string, at int")
+    log = spark.createDataFrame([("a", "failed", 9), ("b", "completed", 4), ("b", "failed", 7), ("c", "started", 1)], "k string, status string, at int")
+    got = events.apply_events(snap, log, ["k"], events.RUN_RANK, events.RUN_TERMINAL)
+    assert {r.k: r.status for r in got.collect()} == {"a": "completed", "b": "failed", "c": "started"}
+
+
+def test_worker_settings():
+    from loomspark.plans import config
+
+    assert (config.QueueWorker().retry_max_delay, config.FlowWorker().visibility_timeout) == (300, 5)
+    once = config.schedule({}, config.ENSURE_WORKERS)
+    assert config.schedule(once, config.ENSURE_WORKERS) == once
+    assert config.context("r", "s", 0, 1, config.FlowWorker())["worker_config"].batch_size == 10

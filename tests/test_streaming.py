@@ -66,3 +66,16 @@ def test_retry_then_failure(stream_events):
 def test_fold(stream_events):
     got = {r.run_id: r.status for r in fold_stream(stream_events).collect()}
     assert got == {"a": "completed", "b": "started", "c": "failed", "d": "failed"}
+
+
+def test_ticks_wait_requeue_and_give_up(spark, tmp_path):
+    """With a clock, a failed task waits for its backoff and a silent one is queued again three times."""
+    flow = Flow("t", {"max_attempts": 2, "base_delay": 3, "timeout": 5}).step("a", None)
+    script = [("start", "{}"), ("tick", "0"), ("fail", '"x"'), ("complete", "1"), ("tick", "5"), ("tick", "6")] + [("tick", str(6 + 36 * k)) for k in range(1, 5)] + [("complete", "1")]
+    rows = [("r", k, c, "a" if c in ("fail", "complete") else None, 0, p) for k, (c, p) in enumerate(script)]
+    src, ck = str(tmp_path / "src"), str(tmp_path / "ck")
+    spark.createDataFrame(rows, COMMANDS).coalesce(1).write.parquet(src)
+    q = run_stream(flow, spark.readStream.schema(COMMANDS).parquet(src)).writeStream.format("memory").queryName("ticks").option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = [r.event_type for r in spark.table("ticks").orderBy("seq").collect()]
+    assert got == ["run:started", "step:started", "task:retry", "task:dropped", "task:visible", "task:requeued", "task:requeued", "task:requeued", "task:stalled", "task:dropped"]
