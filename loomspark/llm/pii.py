@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import fresh
+from loomspark.llm.common import fresh, release
 
 #: The order of kinds decides between spans that start together.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
@@ -53,7 +53,7 @@ CONTEXT_WORDS = {
 }
 _CONTEXT_RE = {k: re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, v)) + r")(?![^\W\d_])") for k, v in CONTEXT_WORDS.items()}
 #: Score of a proposal, and what a confirmed checksum and a context word add.
-START = {"email": 0.9, "ip": 0.7, "card": 0.4, "phone": 0.6, "iban": 0.2, "ssn": 0.3, "secret": 0.1}
+START = {"email": 0.9, "ip": 0.7, "card": 0.4, "phone": 0.6, "iban": 0.2, "ssn": 0.3, "secret": 0.05}
 CHECKSUM_GAIN, CONTEXT_GAIN, KEEP = 0.5, 0.3, 0.6
 #: Bits a character of a text that no one wrote by hand: a random hex string has nearly 4.
 RANDOM_BITS = 3.0
@@ -166,11 +166,16 @@ def _spans_batch(texts: pa.Array) -> pa.Array:
         scores = ",".join(f"{score_of(text, KINDS[k], a, b, k in (2, 4, 6)):.2f}" for a, k, b, _ in spans)
         rows.append((*[sum(s[1] == k for s in base) for k in range(4)], len(spans), hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans), scores))
     columns = zip(*rows, strict=True) if rows else [[] for _ in _NAMES]
-    return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
+    found = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
+    del rows, columns
+    release()
+    return found
 
 
 def _masked_batch(texts: pa.Array) -> pa.Array:
-    return pa.array([mask(t.as_py()) for t in texts], pa.string())
+    found = pa.array([mask(t.as_py()) for t in texts], pa.string())
+    release()
+    return found
 
 
 def mask(text: str | None) -> str | None:
