@@ -33,11 +33,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import discard, fresh, materialise
+from loomspark.llm.common import discard, fresh, materialise, releasing
 from loomspark.llm.components import connected_components
 
 #: Rows of one Arrow batch that a task gives back, and texts a task remembers as seen.
-ROWS, SEEN = 100_000, 500_000
+ROWS, SEEN = 100_000, 100_000
 #: Bits of an n-gram's slot; the counts of all slots are the only statistic that the driver holds.
 SLOT_BITS = 16
 SLOTS = 1 << SLOT_BITS
@@ -242,7 +242,7 @@ def _describe(n: int):
             none = pa.nulls(len(at), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), none, none, none, pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(counts[at])], names=names)
 
-    return run
+    return releasing(run)
 
 
 def _emit(n: int, percent: int, ranks: np.ndarray):
@@ -275,7 +275,7 @@ def _emit(n: int, percent: int, ranks: np.ndarray):
         if held:
             yield flush()
 
-    return run
+    return releasing(run)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -329,7 +329,7 @@ def _codes(n: int, ranks: np.ndarray):
                     names, codes, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(codes, pa.binary())], names=["cls", "codes"])
 
-    return run
+    return releasing(run)
 
 
 def _by_cell(solve: Callable[[list[pa.RecordBatch]], list[tuple]], names: tuple[str, ...]):
@@ -360,7 +360,7 @@ def _by_cell(solve: Callable[[list[pa.RecordBatch]], list[tuple]], names: tuple[
             found += solve(held)
         yield give()
 
-    return run
+    return releasing(run)
 
 
 def _split(rows: list[pa.RecordBatch], columns: tuple[str, ...]) -> tuple[list[tuple], list[tuple]]:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import materialise
+from loomspark.llm.common import materialise, releasing
 
 WINDOW = 4096
 END_ID = 2
@@ -120,7 +120,7 @@ def _tokenize(path: str, end_id: int):
                 names=["part", "part_start", "doc", "doc_tokens", "ids"],
             )
 
-    return run
+    return releasing(run)
 
 
 def tokenize(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -152,7 +152,7 @@ def _cut(window: int):
                 names=["doc", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
 
-    return run
+    return releasing(run)
 
 
 def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import WORD_SPACE, fresh, materialise
+from loomspark.llm.common import WORD_SPACE, fresh, materialise, release
 
 #: Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -70,7 +70,10 @@ def features_of(text: str | None) -> tuple[int, ...]:
 def _features_batch(texts: pa.Array) -> pa.Array:
     rows = [features_of(t.as_py()) for t in texts]  # one text at a time: a batch never exists twice
     columns = zip(*rows, strict=True) if rows else [[] for _ in _NAMES]
-    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_NAMES)
+    found = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_NAMES)
+    del rows, columns
+    release()
+    return found
 
 
 def text_features(text: Column) -> Column:

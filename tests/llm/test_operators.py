@@ -299,3 +299,125 @@ def test_sequences_are_whole(spark, odd):
     found = sequences(pack(odd, registry.tokenizer_path(), window=64)).collect()
     assert all(len(r.ids) == 4 * r.length for r in found)
     assert sorted(r.length for r in found)[1:] == [64] * (len(found) - 1)
+
+
+def test_embeddings_of_repeated_null_and_text_ids(spark):
+    """Every row is a vector of its own, whatever its id; ids may be text."""
+    v, u = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1]
+    rows = [(5, v), (5, None), (6, v), (7, u), (7, v), (8, u), (None, v)]
+    found = link_embeddings(spark.createDataFrame([(i, x, "a") for i, x in rows], "vec_id long, embedding array<double>, label string")).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in found) == Counter([(5, 2, 5), (5, 0, 5), (6, 2, 5), (7, 1, 7), (7, 2, 5), (8, 1, 7), (None, 0, None)])
+    named = [(str(i), x, "a", 1, 2) for i, x in rows]
+    text = link_embeddings(spark.createDataFrame(named, "vec_id string, embedding array<double>, label string, cls int, part int")).collect()
+    assert {(r.vec_id, r.component_id) for r in text if r.vec_id == "6"} == {("6", "5")} and len(text) == len(rows)
+    assert link_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_embeddings_with_many_pivots_and_small_blocks(spark, monkeypatch):
+    from loomspark.llm import embeddings
+
+    rng = np.random.default_rng(12)
+    points = rng.normal(size=(40, 3))
+    rows = [(k, (points[k % 40] + rng.normal(size=3) * 0.15).tolist(), "a") for k in range(500)]
+    for name, value in (("PER_PIVOT", 40), ("BLOCK", 32), ("TILE", 8)):
+        monkeypatch.setattr(embeddings, name, value)
+    found = link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == brute.embeddings(rows)
+
+
+def test_warc_of_odd_ids(spark):
+    rows = [("b\r\nx", "u", "y" * 300), ("a <%> \n", "u", "y" * 300), ("é", "u", "y" * 300), (None, "u", "y" * 300), ("e", "u", None), ("e", "u", None), ("", "u", "y" * 99)]
+    found = archive_round_trip(spark.createDataFrame([(*r, 1, "d") for r in rows], "page_id string, url string, html string, size int, digest string")).collect()
+    assert Counter(r.record_type for r in found) == Counter({"revisit": 3, "response": 4})
+    assert {r.refers_to for r in found} == {None, "a <%> \n"}
+
+
+def test_pii_context_and_overlaps():
+    from loomspark.llm.pii import KINDS, find_spans, score_of
+
+    kinds = lambda text: [KINDS[k] for _, k, _, _ in find_spans(text)]
+    assert kinds("number 123-45-6789 is my ssn") == ["ssn"] and kinds("ssn: 123-45-6789") == ["ssn"] and kinds("number 123-45-6789") == []
+    assert kinds('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"') == ["secret"]
+    assert kinds("mot de passe 04dbebab91ab85687d33eeaaf9ac699e1188f962") == ["secret"]
+    assert kinds("token aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1") == [] and kinds("sha 04dbebab91ab85687d33eeaaf9ac699e1188f962") == []
+    iban = next(f"BE{c:02d} {b}" for b in ("5390 0754 7034", "0000 0000 1111", "1234 5678 9012", "4111 1111 1111") for c in range(2, 99) if mod97(f"BE{c:02d} {b}"))
+    assert "iban" in kinds(f"Konto {iban}") and mask(f"Konto {iban}.") == "Konto <IBAN>."
+    # Digits that happen to pass Luhn stay a card, and the IBAN around them is reported too.
+    both = next(x for n in range(10**11, 10**11 + 4000) for c in range(2, 99) if mod97(x := f"BE{c:02d}{n}") and luhn(f"{c:02d}{n}"))
+    assert sorted(kinds(f"bank {both} end")) == ["card", "iban"] and mask(f"bank {both} end") == "bank <IBAN> end"
+    assert score_of("call me at X", "phone", 11, 12, False) > score_of("look me at X", "phone", 11, 12, False)
+    many = "x@y.zz " * 40 + "ssn 123-45-6789"
+    assert kinds(many)[-1] == "ssn"
+
+
+def test_packing_of_words_like_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(registry.tokenizer_path())
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    texts = [x for t in added[:4] for x in (f"{t.upper()} hello", f"a{t.title()}b {t}x {t}")] or ["none"]
+    rows = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), registry.tokenizer_path()).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {k: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for k, t in enumerate(texts)}
+
+
+def test_quality_rules_have_no_limit_of_length(spark):
+    from pyspark.sql import functions as F
+
+    from loomspark.llm.quality import default_rules, text_features
+
+    texts = ["same few words " * n for n in (40, 4000, 40000)] + [" ".join(f"w{k}" for k in range(n)) for n in (60, 20000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").withColumn("f", text_features(F.col("text")))
+    assert [r[0] for r in df.orderBy("k").select(default_rules(F.col("f"))["variety"]).collect()] == [0, 0, 0, 1, 1]
+
+
+def test_ngram_tries_and_sketches():
+    """A walk finds exactly the similar sets, and no sketch or prefix parts two similar ones."""
+    from loomspark.llm import jaccard as J
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        base = np.unique(rng.integers(0, 90, int(rng.integers(3, 40))).astype(np.uint64))
+        sets = []
+        for _ in range(int(rng.integers(2, 25))):
+            x = base.copy()
+            x[rng.integers(0, len(x), int(rng.integers(0, 5)))] = rng.integers(0, 90)
+            sets.append(np.unique(x))
+        similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+        trie = J.Trie(sets)
+        for k, probe in enumerate(sets):
+            want = [j for j, x in enumerate(sets) if similar(probe, x)]
+            assert sorted(trie.order[p] for p in trie.walk(probe, 80, np.zeros(len(trie.top), bool))) == want
+            member, _ = J.possible([len(x) for x in sets], [J.sketch(x) for x in sets], list(range(len(sets))), [(len(probe), J.sketch(probe), k)], 80)
+            assert all(member[j] for j in want if j != k)
+            assert all(len(np.intersect1d(J.prefix_of(probe, 80), J.prefix_of(sets[j], 80))) for j in want)
+        links = J.join_cell(list(range(len(sets))), list(range(len(sets))), sets, [(k, k, x) for k, x in enumerate(sets)], 80)
+        assert all(similar(sets[a], sets[b]) for a, b in links)
+        every = [(a, b) for a in range(len(sets)) for b in range(a) if similar(sets[a], sets[b])]
+        assert brute.components(range(len(sets)), links) == brute.components(range(len(sets)), every)
+    ranks = J.rank_slots(rng.integers(0, 5, J.SLOTS))
+    hashes = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    assert len(np.unique(J.codes_of(hashes, ranks))) == len(hashes)
+
+
+def test_mixing_against_plain_raking(spark):
+    """Weights of every document equal those of raking written out by hand over all three margins."""
+    rows = registry.op1_mixing(spark, D).collect()
+    fold = lambda r: tuple(v if v in t else REST for v, t in zip((r.source, r.lang, r.topic), registry.MIXTURE.margins()))
+    tokens = Counter()
+    for r in rows:
+        tokens[fold(r)] += r.tokens
+    weight, whole = {k: float(v) for k, v in tokens.items()}, sum(tokens.values())
+    for _ in range(400):
+        for m, target in enumerate(registry.MIXTURE.margins()):
+            have = Counter()
+            for k, w in weight.items():
+                have[k[m]] += w
+            rest = sum(v for k, v in tokens.items() if k[m] == REST) / whole
+            given = sum(target[k] for k in have if k in target)
+            scale = {k: whole * (rest if k == REST else target[k] * (1 - rest) / given) / h for k, h in have.items() if h}
+            weight = {k: w * scale.get(k[m], 1.0) for k, w in weight.items()}
+    for r in rows:
+        if r.tokens:
+            assert abs(r.weight - weight[fold(r)] / tokens[fold(r)]) < 1e-4 * max(1, r.weight)
+    drawn = sum(r.tokens * r.probability for r in rows)
+    assert abs(drawn - registry.MIXTURE.fraction * whole) < 1e-6 * whole or all(r.probability in (0, 1) for r in rows)
