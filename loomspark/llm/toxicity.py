@@ -1,7 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
-Each window of a text (a word in a fixed frame) is compressed with both; a window
+Two zstandard dictionaries of raw content are made, one of words that mark toxic
+text and one of words common in ordinary text; zstandard's own training found too
+little (see the README).  Each window of a text (one word in a fixed frame) is
+compressed with both; a window
 that the toxic dictionary shortens by more than a calibrated threshold speaks for
 toxicity, and a logistic curve fitted on held-apart folds turns a document's
 windows into a probability.
