@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import materialise
+from loomspark.llm.common import discard, materialise
 
 LENGTH, REACH, GRAM = 200, 128, 24
 SHARED = LENGTH - REACH + 1
@@ -37,6 +37,8 @@ CHUNK = 1 << 20
 BUCKET, HOT = 60_000, 200_000
 #: Suffixes of a run, before it is sorted and sent.
 RUN = 100_000
+#: A key is salted when it has more than one in so many of all rows; so at most this many keys are, and are broadcast.
+SALTED = 1000
 
 _RANDOM = np.random.default_rng(20240501)
 _TABLE = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -401,12 +403,30 @@ def _remove(kind: str, with_text: bool):
     return run
 
 
+def with_counts(rows: DataFrame, counts: DataFrame, key: str, salted: int = SALTED) -> DataFrame:
+    """``rows`` whose key is in ``counts`` (key, n), with ``n``; a frequent key is dealt over all tasks.
+
+    A key with more than one in ``salted`` of the counted rows has its row of ``counts``
+    repeated once a partition, and its rows fall to one of those by their place.  There are
+    fewer than ``salted`` such keys whatever the input, which bounds what is broadcast.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = F.col("n") > total / salted
+    frequent = counts.filter(often).select(key, F.lit(True).alias("often"))
+    spread = rows.columns
+    dealt = rows.join(F.broadcast(frequent), key, "left").withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64(*spread), F.lit(parts))).otherwise(0).cast("int"))
+    repeated = counts.withColumn("salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(repeated.hint("merge"), [key, "salt"]).select(*spread, "n")
+
+
 def repeated_spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
     """(rid, low, high): byte ranges that repeated strings cover, of the rows (rid, text)."""
     places = documents.mapInArrow(_anchor_rows, "h bigint, rid bigint, place bigint")
     # Counted before the join, with partial sums: a passage of a third of all rows is one row a task.
-    known = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    candidates = materialise(places.join(known, "h").select("rid", "place", "h", (F.col("n") > hot).alias("hot")), "anchors")
+    known = materialise(places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "known")
+    candidates = materialise(with_counts(places, known, "h").select("rid", "place", "h", (F.col("n") > hot).alias("hot")), "anchors")
+    discard(known)
     total, some_hot = candidates.agg(F.count(F.lit(1)), F.max("hot")).first()
     session = documents.sparkSession
     buckets = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
@@ -416,10 +436,12 @@ def repeated_spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
     if some_hot:
         rows = candidates.filter("hot").groupBy("rid").agg(F.collect_list("place").alias("places"))
         strings = materialise(documents.join(rows, "rid").select("rid", "text", "places").mapInArrow(_hot_rows, "digest binary, rid bigint, start bigint"), "strings")
-        twice = strings.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-        found = strings.join(twice, "digest").select("rid", F.col("start").alias("low"), (F.col("start") + LENGTH).alias("high"))
+        twice = materialise(strings.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
+        found = with_counts(strings, twice, "digest").select("rid", F.col("start").alias("low"), (F.col("start") + LENGTH).alias("high"))
         spans = spans.unionByName(found)
-    return materialise(spans, "spans")
+    found = materialise(spans, "spans")
+    discard(candidates, *([strings, twice] if some_hot else []))
+    return found
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, with_text: bool = False) -> DataFrame:

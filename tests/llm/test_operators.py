@@ -20,7 +20,7 @@ from loomspark.llm.packing import pack, sequences
 from loomspark.llm.pii import detect_pii, luhn, mask, mod97, redact_pii
 from loomspark.llm.quality import filter_quality, fit_votes, score_quality
 from loomspark.llm.sharding import shard_rows
-from loomspark.llm.suffixes import LoserTree, remove_repeats
+from loomspark.llm.suffixes import LoserTree, remove_repeats, with_counts
 from loomspark.llm.toxicity import score_toxicity
 from loomspark.llm.warc import archive_round_trip, read_archive, write_archive
 
@@ -212,6 +212,17 @@ def test_toxicity(spark):
     assert seen[1, 1] >= 0.6 * (seen[1, 0] + seen[1, 1]) and seen[0, 1] <= 0.05 * seen[0, 0]
 
 
+@pytest.mark.parametrize("salted", (1, 4, 1000))
+def test_counts_of_frequent_keys(spark, salted):
+    """Every row of a counted key comes back once, whether its key is salted or not, and null keys do not."""
+    rows = [(k % 3 and k, k) for k in range(300)] + [(None, 0), (None, 1)] + [(0, 7)] * 5
+    df = spark.createDataFrame(rows, "key long, place long")
+    counted = Counter(k for k, _ in rows if k is not None)
+    counts = spark.createDataFrame([(k, n) for k, n in counted.items() if n > 1 or k == 1], "key long, n long")
+    found = sorted(tuple(r) for r in with_counts(df, counts, "key", salted).select("key", "place", "n").collect())
+    assert found == sorted((k, p, counted[k]) for k, p in rows if k is not None and (counted[k] > 1 or k == 1))
+
+
 def test_repeats(spark, texts):
     rows = registry.op10_suffixes(spark, D).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute.repeats(texts)
